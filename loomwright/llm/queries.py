@@ -3,12 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomwright.llm.consensus import Consensus, agreement, consensus, pair_labels
 from loomwright.llm.packing import pack_documents, packing_report
 from loomwright.llm.tokens import count_tokens, encode_corpus
 from loomwright.session import read_table
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_labels(*(read_table(spark, sf_dir, t) for t in ("consistency_pair", "participant_verdict", "second_annotation")))
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
+    return consensus(_labels(spark, sf_dir), ["defective"], rest="consistent")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).items.where("label = 'defective'").select(F.col("item").alias("pair_id"))
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).items.withColumnRenamed("item", "pair_id")
+
+
+def p4_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).annotators.drop("class")
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("observed", "expected", "alpha")]
+    return agreement(_labels(spark, sf_dir)).select("items", "labels", *rounded)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +52,26 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
+QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p4_agreement": """
+WITH said AS (
+  SELECT p.pair_id AS item, 'p' || upper(trim(translate(v.participant, 'Ｐ０１２３４５６７８９　', 'P0123456789 '))) AS annotator, v.end_time AS t,
+         CASE WHEN lower(trim(v.verdict)) IN ('defective', '不一致', '有缺陷') THEN 1 WHEN lower(trim(v.verdict)) IN ('consistent', '一致', '无缺陷') THEN 0 END AS label
+  FROM participant_verdict v JOIN consistency_pair p ON v.project = p.project AND v.req_id = p.req_id AND v.file = p.file AND v.method_name = p.method_name
+  UNION ALL
+  SELECT pair_id, 's' || lower(trim(annotator)), epoch_us(generated_at) / 1e6, CASE WHEN consistent THEN 0 ELSE 1 END
+  FROM second_annotation WHERE consistent IS NOT NULL AND pair_id IN (SELECT pair_id FROM consistency_pair)),
+last AS (
+  SELECT item, annotator, label FROM said WHERE label IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY item, annotator ORDER BY t DESC NULLS LAST, label DESC) = 1),
+c AS (SELECT item, label, count(*) AS k FROM last GROUP BY 1, 2),
+i AS (SELECT item, sum(k) AS n, sum(k * (k - 1)) AS same FROM c GROUP BY 1 HAVING sum(k) > 1),
+t AS (SELECT count(*) AS items, sum(n)::BIGINT AS labels, sum(same / (n - 1)) / sum(n) AS observed FROM i),
+e AS (SELECT sum(k * (k - 1)) AS by_chance FROM (SELECT label, sum(k) AS k FROM c WHERE item IN (SELECT item FROM i) GROUP BY 1))
+SELECT items, labels, round(observed, 6) AS observed, round(by_chance / (labels::DOUBLE * (labels - 1)), 6) AS expected,
+       round(1 - (1 - observed) / (1 - by_chance / (labels::DOUBLE * (labels - 1))), 6) AS alpha
+FROM t, e
+""",
+}
