@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.consensus import Consensus, agreement, consensus, pair_labels
 from loomwright.llm.packing import pack_documents, packing_report
+from loomwright.llm.syntax import check_files, failure_rates
 from loomwright.llm.tokens import count_tokens, encode_corpus
 from loomwright.session import read_table
 
@@ -36,6 +37,19 @@ def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement(_labels(spark, sf_dir)).select("items", "labels", *rounded)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_files(read_table(spark, sf_dir, "source_file")).where(~F.col("valid")).select("file_id").distinct()
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_files(read_table(spark, sf_dir, "source_file"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "source_file").dropDuplicates(["file_id"])
+    return failure_rates(check_files(files, keep=("repo", "file_name")), read_table(spark, sf_dir, "parse_failure"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -52,7 +66,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
+QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
 
 ORACLE: dict[str, str] = {
     "p4_agreement": """
