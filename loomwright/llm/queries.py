@@ -6,12 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.consensus import Consensus, agreement, consensus, pair_labels
+from loomwright.llm.natural_language import find_language, fit_model, gram_counts, language_shares
 from loomwright.llm.packing import pack_documents, packing_report
 from loomwright.llm.syntax import check_files, failure_rates
 from loomwright.llm.tokens import count_tokens, encode_corpus
 from loomwright.session import read_table
 
 
+def _language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = read_table(spark, sf_dir, "defect_detection_case")
+    code = cases.select("case_id", F.col("file_path").alias("path"), F.col("code_content").alias("code"))
+    return find_language(code, fit_model(gram_counts(code, read_table(spark, sf_dir, "documents"))))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_pieces(spark, sf_dir).select("case_id", "line_no", "kind", "nl_lang").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_pieces(spark, sf_dir)
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_shares(_language_pieces(spark, sf_dir).distinct())
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_labels(*(read_table(spark, sf_dir, t) for t in ("consistency_pair", "participant_verdict", "second_annotation")))
 
@@ -66,7 +85,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_shares": p3_shares, "p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
 
 ORACLE: dict[str, str] = {
     "p4_agreement": """
