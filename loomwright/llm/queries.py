@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.consensus import Consensus, agreement, consensus, pair_labels
+from loomwright.llm.mojibake import find_garbled
 from loomwright.llm.natural_language import find_language, fit_model, gram_counts, language_shares
 from loomwright.llm.packing import pack_documents, packing_report
 from loomwright.llm.syntax import check_files, failure_rates
@@ -13,6 +14,14 @@ from loomwright.llm.tokens import count_tokens, encode_corpus
 from loomwright.session import read_table
 
 
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(read_table(spark, sf_dir, "tg_requirement"), ["original_text", "source_file"], "id", "project_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_repaired(spark, sf_dir).select("id", "field_name").distinct()
+
+
 def _language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = read_table(spark, sf_dir, "defect_detection_case")
     code = cases.select("case_id", F.col("file_path").alias("path"), F.col("code_content").alias("code"))
@@ -85,7 +94,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_shares": p3_shares, "p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_shares": p3_shares, "p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
 
 ORACLE: dict[str, str] = {
     "p4_agreement": """
