@@ -9,6 +9,7 @@ from loomwright.llm.consensus import Consensus, agreement, consensus, pair_label
 from loomwright.llm.mojibake import find_garbled
 from loomwright.llm.natural_language import find_language, fit_model, gram_counts, language_shares
 from loomwright.llm.packing import pack_documents, packing_report
+from loomwright.llm.residue import find_residue, without_residue
 from loomwright.llm.syntax import check_files, failure_rates
 from loomwright.llm.tokens import count_tokens, encode_corpus
 from loomwright.session import read_table
@@ -94,7 +95,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_shares": p3_shares, "p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report}
+def p8_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(read_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_sorts(spark, sf_dir).select("doc_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_residue(read_table(spark, sf_dir, "documents"), p8_sorts(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_shares": p3_shares, "p4_found": p4_found, "p4_labels": p4_labels, "p4_annotators": p4_annotators, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_ids": p6_ids, "p6_counts": p6_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_sorts": p8_sorts, "p8_clean": p8_clean}
 
 ORACLE: dict[str, str] = {
     "p4_agreement": """
