@@ -11,7 +11,7 @@ IMPORTANT_WORDS = ["应", "应该", "重要", "should", "important"]
 OPTIONAL_WORDS = ["可以", "可选", "may", "optional"]
 NON_FUNCTIONAL_WORDS = ["性能", "响应时间", "并发", "安全", "可用性", "毫秒", "performance", "latency", "within", "security"]
 CONSTRAINT_WORDS = ["约束", "限制", "不得", "不超过", "at most", "no more than", "lie between", "constraint"]
-AMBIGUOUS_WORDS = ["适当", "尽快", "合理", "若干", "大约", "可能", "some", "several", "quickly", "approximately", "reasonable"]
+AMBIGUOUS_WORDS = ["适当", "尽快", "合理", "若干", "大约", "可能", "含糊", "建议", "some", "several", "quickly", "approximately", "reasonable", "as usual"]
 STATE_NAMES = ["DRAFT", "QUEUED", "APPROVED", "LOCKED", "SHIPPED", "CLOSED", "REVOKED", "ON_HOLD"]
 BEHAVIOUR_WORDS = ["应", "必须", "需要", "可以", "不得", "shall", "must", "should", "may"]
 STOP_WORDS = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "into", "then", "than", "not"]
