@@ -55,8 +55,8 @@ def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation over rows with both values; null for fewer than two rows or without variance."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    flat = (F.count(F.lit(1)) < 2) | (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.when(~flat, F.corr(a, b)), 6).alias("correlation"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.try_divide(F.covar_pop(a, b), spread), 6).alias("correlation"))
 
 
 def majority(df: DataFrame, item: str, vote: Column) -> DataFrame:
