@@ -38,12 +38,8 @@ def _salted(refs: DataFrame, parents: DataFrame, salts: int) -> tuple[DataFrame,
     The list of hot keys has at most ``HOT_SHARE`` rows whatever the input, since each holds more than that share.
     """
     per_key = refs.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    total = per_key.agg(F.sum("n").alias("total"))
-    hot = (
-        per_key.crossJoin(F.broadcast(total))  # one row
-        .where(F.col("n") * HOT_SHARE > F.greatest(F.col("total"), F.lit(HOT_SHARE * 1000)))
-        .select("_key", F.lit(True).alias("_hot"))
-    )
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    hot = per_key.where(F.col("n") * HOT_SHARE > max(total, HOT_SHARE * 1000)).select("_key", F.lit(True).alias("_hot"))
     spread: Column = F.when(F.col("_hot"), F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     repeat: Column = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (

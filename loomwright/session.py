@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks that the session is set up to run at once, at least one."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as tasks can run. Inputs of enough files or splits stay as they are; only
+    small ones, a file of one split, are shuffled, so that work per row does not run in a single task."""
+    wanted = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
