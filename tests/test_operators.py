@@ -12,6 +12,7 @@ from loomwright.operators.aggregates import confusion, correlation, failure_runs
 from loomwright.operators.blocks import against_all
 from loomwright.operators.code import reachable
 from loomwright.operators.matching import greedy_matches
+from loomwright.operators.skew import spread_join
 
 
 def sequential(pairs):
@@ -121,3 +122,11 @@ def test_params():
         ScoringParams(0.5, 0.5, 0.5, 0.6, 0.5)
     with pytest.raises(ValueError):
         ScoringParams(0.4, 0.3, 0.3, 0.5, 0.5)
+
+
+def test_spread_join_is_the_plain_join(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 5}") for i in range(200)] + [(7, None)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, v long")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, spread_join(left, right, ["k"], F.col("i"), 4, how).collect())) == plain
