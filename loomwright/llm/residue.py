@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.session import cut
+from loomwright.operators.skew import spread_join
+from loomwright.session import cut, spread
 
 #: Sizes of the hashed tables of contexts and of features; they bound what is gathered, whatever the corpus.
 CONTEXTS, FEATURES = 1 << 23, 1 << 18
@@ -107,9 +108,16 @@ NEAR_CJK, NEAR_OTHER = 3, 10
 _EDGE = "\n" * NEAR_OTHER
 
 
-def _all_contexts(line: str) -> np.ndarray:
-    codes = _codes(_EDGE + _fold(line) + _EDGE)
-    return np.concatenate([_gram_hashes(codes, NEAR_CJK).ravel(), _gram_hashes(codes, NEAR_OTHER).ravel()])
+def _add_contexts(total: np.ndarray, seen: dict[str, int]) -> None:
+    """Count the contexts of lines that occur so often each; all lines of a batch at once, with edges between them."""
+    if not seen:
+        return
+    folded = [_EDGE + _fold(line) for line in seen]
+    codes = _codes("".join(folded) + _EDGE)
+    times = np.repeat(np.fromiter(seen.values(), dtype=np.int32, count=len(seen)), [len(x) for x in folded])
+    for n in (NEAR_CJK, NEAR_OTHER):
+        for places in _gram_hashes(codes, n):
+            np.add.at(total, places, times[: len(places)] if len(times) >= len(places) else np.pad(times, (0, len(places) - len(times)), mode="edge"))
 
 
 def _side(text: str, left: bool, contexts: np.ndarray) -> str:
@@ -207,8 +215,7 @@ def _context_counts(docs: DataFrame) -> np.ndarray:
                     if not _SHAPE.search(line):
                         line = line[_LABEL.match(line).end() :] if _LABEL.match(line) else line
                         seen[line] = seen.get(line, 0) + 1
-            for line, n in seen.items():
-                np.add.at(total, _all_contexts(line), n)
+            _add_contexts(total, seen)
         at = total.nonzero()[0]
         yield pd.DataFrame({"i": at.astype(np.int32), "a": np.minimum(total[at], COMMON).astype(np.float64), "b": 0.0})
 
@@ -310,7 +317,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null, empty and blank texts give no row, repeated rows one. Statistics come from all documents: contexts and
     features are hashed into tables of fixed size, units that look alike are counted before learning.
     """
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
+    src = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.length(F.trim("text")) > 0))
     spark = docs.sparkSession
     contexts = spark.sparkContext.broadcast(_context_counts(src))
     found = cut(_expand(src, contexts, src.schema["_id"].dataType))
@@ -324,7 +331,7 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.Series([now.posterior(*x) for x in zip(sort, key, sure)])
 
     residue = kinds.withColumn("score", posterior("sort", "key", "sure")).where("score > 0.5").select("sort", "key", "sure", "score")
-    hits = found.join(residue, ["sort", "key", "sure"])
+    hits = spread_join(found, residue, ["sort", "key", "sure"], F.xxhash64("_id"))
     best = F.max(F.struct("score", "sort")).alias("b")
     return hits.groupBy("_id").agg(best, F.count(F.lit(1)).alias("n_units")).select(F.col("_id").alias(id_col), "b.sort", "b.score", "n_units")
 
