@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.operators import changes as C
-from loomwright.plans.base import cases, projects
+from loomwright.plans.base import cases
 from loomwright.session import read_table
 
 QUERIES, ORACLE = {}, {}
