@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.skew import spread_join
 from loomwright.session import cut
 
 #: Up to this many (class, annotator) rows of summed messages are broadcast to the edges; more are joined by a shuffle.
@@ -69,11 +70,10 @@ def consensus(labels: DataFrame, classes: list[str], rest: str | None = None, to
     start = F.sum(sign).over(item) - sign  # majority of the others
     state = cut(edges.repartition("class", "item").withColumn("told", 1 / (1 + F.exp(-start))).withColumn("belief", 1 / (1 + F.exp(-(start + sign)))))
     small = edges.select("class", "annotator").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
     rounds = 0
     while True:
         rounds += 1
-        state = cut(_round(state, item, hint))
+        state = cut(_round(state, item, small))
         moved = state.agg(F.max(F.abs(F.col("told") - F.col("before")))).first()[0]
         if moved is None or moved <= tolerance or rounds >= max_rounds:
             break
@@ -103,12 +103,14 @@ def consensus(labels: DataFrame, classes: list[str], rest: str | None = None, to
     return Consensus(items, annotators, rounds)
 
 
-def _round(state: DataFrame, item, hint) -> DataFrame:
+def _round(state: DataFrame, item, small: bool) -> DataFrame:
     says, told = F.col("says"), F.col("told")
     own = {"tp": told * says, "fn": told * (1 - says), "fp": (1 - told) * says, "tn": (1 - told) * (1 - says)}
     sums = state.groupBy("class", "annotator").agg(*[F.sum(c).alias(k) for k, c in own.items()])
     prior = state.groupBy("class").agg((F.sum("belief") / F.count(F.lit(1))).alias("share"))
-    joined = state.join(hint(sums), ["class", "annotator"]).join(F.broadcast(prior), "class")  # prior: a row per class
+    key = ["class", "annotator"]
+    with_sums = state.join(F.broadcast(sums), key) if small else spread_join(state, sums, key, F.xxhash64("item"))
+    joined = with_sums.join(F.broadcast(prior), "class")  # prior: a row per class
     tp, fn, fp, tn = (F.col(k) - c for k, c in own.items())
     sens, spec = (tp + RIGHT) / (tp + fn + RIGHT + WRONG), (tn + RIGHT) / (tn + fp + RIGHT + WRONG)
     weight = F.when(says == 1, F.log(sens / (1 - spec))).otherwise(F.log((1 - sens) / spec))
@@ -131,13 +133,13 @@ def agreement(labels: DataFrame) -> DataFrame:
     per_item = counts.groupBy("item").agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("same")).where("n > 1")
     paired = counts.join(per_item.select("item"), "item", "left_semi")
     per_label = paired.groupBy("label").agg(F.sum("k").alias("k"))
-    total = per_item.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"), F.sum(F.col("same") / (F.col("n") - 1)).alias("same"))
-    chance = per_label.agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("by_chance"))
-    observed = F.col("same") / F.col("labels")
-    expected = F.col("by_chance") / (F.col("labels") * (F.col("labels") - 1))
-    return total.crossJoin(F.broadcast(chance)).select(  # one row each
-        "items", "labels", observed.alias("observed"), expected.alias("expected"), F.when(expected < 1, 1 - (1 - observed) / (1 - expected)).alias("alpha")
-    )
+    none = F.lit(None).cast("double")
+    total = per_item.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"), F.sum(F.col("same") / (F.col("n") - 1)).alias("same"), none.alias("by_chance"))
+    chance = per_label.agg(F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("labels"), none.alias("same"), F.sum(F.col("k") * (F.col("k") - 1)).cast("double").alias("by_chance"))
+    both = total.unionByName(chance).agg(F.max("items").alias("items"), F.max("labels").alias("labels"), F.max("same").alias("same"), F.max("by_chance").alias("by_chance"))
+    observed = F.try_divide(F.col("same"), F.col("labels"))
+    expected = F.try_divide(F.col("by_chance"), F.col("labels") * (F.col("labels") - 1))
+    return both.select("items", "labels", observed.alias("observed"), expected.alias("expected"), F.when(expected < 1, 1 - (1 - observed) / (1 - expected)).alias("alpha"))
 
 
 # Wordings of verdicts that count.

@@ -7,7 +7,6 @@ letters without case, one class each for digits, runs of capitals, Han, kana, ha
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np

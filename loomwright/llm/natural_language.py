@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loomwright.llm import language_hmm as hmm
 from loomwright.llm.pieces import _PIECES, SCANNERS, pieces, unescape
+from loomwright.session import spread
 
 #: Words (Han or kana characters, syllables) from which a piece holds running language.
 LEAST_WORDS = 4
@@ -58,7 +59,7 @@ def gram_counts(code: DataFrame, labelled: DataFrame) -> DataFrame:
             for ids, n in _gram_rows([s for s, _ in rows], [t for _, t in rows]):
                 yield pd.DataFrame({"gram": ids, "n": n})
 
-    both = code.select("path", "code").mapInPandas(outside, _GRAMS).unionByName(labelled.select("lang", "text").mapInPandas(spoken, _GRAMS))
+    both = spread(code.select("path", "code")).mapInPandas(outside, _GRAMS).unionByName(spread(labelled.select("lang", "text")).mapInPandas(spoken, _GRAMS))
     return both.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -124,7 +125,7 @@ def find_language(code: DataFrame, fitted: FittedModel, id_col: str = "case_id")
     first in hmm.LANGUAGES). n_chars counts the piece's characters in language states. Files with null or empty code, and
     pieces without language, give no row; repeated files repeat theirs. One narrow stage.
     """
-    src = code.select(F.col(id_col).alias("_id"), "path", "code").where(F.length("code") > 0)
+    src = spread(code.select(F.col(id_col).alias("_id"), "path", "code").where(F.length("code") > 0))
     schema = T.StructType([T.StructField("_id", src.schema["_id"].dataType), *_FOUND.fields])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

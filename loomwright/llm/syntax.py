@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from loomwright.llm.parsing import grammars, lexers
 from loomwright.llm.parsing.peg import Parser
+from loomwright.session import spread
 
 # File extensions and their languages.
 LANGUAGES = {"java": "java", "py": "python", "go": "go", "c": "c", "cpp": "cpp"}
@@ -67,6 +68,7 @@ def check_files(files: DataFrame, id_col: str = "file_id", name_col: str = "file
     extension = F.lower(F.regexp_extract(F.col(name_col), r"\.([A-Za-z0-9]+)\s*$", 1))
     language = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), extension)
     src = files.select(F.col(id_col).alias("id"), F.struct(*[F.col(k) for k in keep], F.lit(0).alias("_")).alias("kept"), F.col(content_col).alias("text"), language.alias("language")).where(F.col("language").isNotNull())
+    src = spread(src)
 
     @F.pandas_udf(RESULT)
     def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

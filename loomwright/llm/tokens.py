@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.automaton import DEFAULT_PATH, load_tokenizer
+from loomwright.session import spread
 
 #: Bytes of text that are encoded between two output batches; memory only, no row is dropped.
 SLICE_BYTES = 4_000_000
@@ -21,7 +22,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts give an empty list, never null. One narrow stage, no shuffle; repeated rows stay repeated.
     """
-    src = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
+    src = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")))
     schema = T.StructType([T.StructField(id_col, src.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +44,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_PATH) -> DataFrame:
     """(id_col, n_tokens); 0 for null and empty texts."""
-    src = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
+    src = spread(docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text")))
     schema = T.StructType([T.StructField(id_col, src.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,13 @@ def test_alpha_by_hand(spark):
     rows = [(1, "a", "x"), (1, "b", "x"), (2, "a", "x"), (2, "b", "y"), (3, "a", "y"), (3, "b", "y"), (4, "a", "y")]
     r = agreement(spark.createDataFrame(rows, "item long, annotator string, label string")).first()
     assert (r["items"], r["labels"]) == (3, 6) and abs(r.observed - 4 / 6) < 1e-9 and abs(r.alpha - (1 - (1 / 3) / (18 / 30))) < 1e-9
+
+
+def test_many_annotators_take_the_shuffled_join(spark, monkeypatch):
+    from loomwright.llm import consensus as module
+
+    _, rows = votes(seed=5, items=60)
+    labels = spark.createDataFrame(rows, "item string, annotator string, label string")
+    want = {r.item: r.label for r in consensus(labels, ["bad"], rest="ok").items.collect()}
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert {r.item: r.label for r in consensus(labels, ["bad"], rest="ok").items.collect()} == want
