@@ -85,3 +85,22 @@ def key_coverage(text: Column, keys: list[str]) -> Column:
     bare = F.regexp_replace(F.lower(text), r"[ \t\r\n]+", "")
     return F.size(F.filter(F.array(*[F.lit(k.lower().replace(" ", "")) for k in keys]), lambda k: F.contains(bare, k))) / float(len(keys))
 
+
+
+def bound_mismatch(bounds: Column, constants: Column) -> Column:
+    """0.15 for each of the text's bounds that the code has only within a factor of five but not equal, at most 0.45."""
+    off = F.size(F.filter(F.array_distinct(bounds), lambda b: ~F.array_contains(constants, b) & F.exists(constants, lambda c: (c > 0) & (b > 0) & (F.greatest(b, c) <= 5 * F.least(b, c)))))
+    return F.least(F.lit(0.45), 0.15 * off)
+
+
+def null_dereference(code: Column) -> Column:
+    """0.35 where a value that came from a lookup is used and never compared with null."""
+    return F.when(code.rlike(r"(\w+) = \w+\.get\([^;]*\);(?![\s\S]*\b\1 *[!=]= *null)[\s\S]*?\b\1\."), 0.35).otherwise(0.0)
+
+
+def constraint_score(text: Column, code: Column, matched: Column, coverage: Column) -> Column:
+    """The matched degree (null or below 0 for no constraint), held within 0..1; without a constraint, or with a blank side,
+    0.35 + 0.65 of the coverage where that is known (not below 0), else 0.5."""
+    simple = F.when(coverage >= 0, 0.35 + 0.65 * coverage).otherwise(0.5)
+    blank = (F.trim(F.coalesce(text, F.lit(""))) == "") | (F.trim(F.coalesce(code, F.lit(""))) == "")
+    return F.when(blank | matched.isNull() | (matched < 0), simple).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), matched)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import code as K
+from loomwright.operators import units as U
 from loomwright.plans.base import WITH, cases, requirements
 from loomwright.session import read_table
 
@@ -102,3 +103,23 @@ def spec_reachable(spark, sf):
 def s7_s11_line_inventory(spark, sf):
     lines = K.code_lines(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")
     return lines.groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("lines"), F.sum((F.trim("line") != "").cast("int")).alias("filled"))
+
+
+@query()
+def g2_g4_code_units(spark, sf):
+    return U.code_units(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")
+
+
+@query()
+def g6_python_defects(spark, sf):
+    return U.python_static_defects(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")
+
+
+_FACTS = r"regexp_extract_all({s}, 'fact [{{] ([^{{}}]*) [}}]', 1)"
+
+
+@query(WITH + f", s AS (SELECT id, {_SPEC} AS spec FROM requirements), c AS (SELECT id, {_FACTS.format(s='spec')} AS facts, regexp_extract_all(spec, 'one sig (\\w+) extends', 1) AS states FROM s) SELECT id, len(facts)::BIGINT AS clauses, len(list_filter(facts, lambda f: regexp_matches(f, '>=|<=|>|<|=')))::BIGINT AS invariants, array_to_string(states, ',') AS states FROM c")
+def spec_clauses(spark, sf):
+    facts = F.regexp_extract_all("spec", F.lit(r"fact [{] ([^{}]*) [}]"), F.lit(1))
+    states = F.regexp_extract_all("spec", F.lit(r"one sig (\w+) extends"), F.lit(1))
+    return _specs(spark, sf).select("id", F.size(facts).cast("long").alias("clauses"), F.size(F.filter(facts, lambda f: f.rlike(">=|<=|>|<|="))).cast("long").alias("invariants"), F.array_join(states, ",").alias("states"))

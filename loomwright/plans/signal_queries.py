@@ -93,3 +93,23 @@ def t26_t27_replies(spark, sf):
 @query("SELECT doc_id, round(len(list_filter(['version', '版本', 'author', '编写人', 'req-001'], lambda w: contains(regexp_replace(lower(text), '[ \\t\\r\\n]+', '', 'g'), w)))::DOUBLE / 5, 6) AS covered FROM documents WHERE text IS NOT NULL")
 def a20_key_coverage(spark, sf):
     return read_table(spark, sf, "documents").where("text is not null").select("doc_id", r6(G.key_coverage(F.col("text"), ["version", "版本", "author", "编写人", "REQ-001"]), "covered"))
+
+
+@query(
+    """WITH b AS (SELECT case_id, list_distinct(list_transform(regexp_extract_all(original_text, '([0-9]+) ?(?:毫秒|分钟|秒|天|次|条|字|位|元|ms|minutes|seconds|days|times|rows|characters)', 1), lambda x: x::BIGINT)) AS w, list_transform(regexp_extract_all(code_content, '(?:==|<=|<|>|>=) ([0-9]{1,4})', 1), lambda x: x::BIGINT) AS c FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)
+SELECT case_id, round(least(0.45, 0.15 * len(list_filter(w, lambda b: NOT list_contains(c, b) AND len(list_filter(c, lambda x: x > 0 AND b > 0 AND greatest(b, x) <= 5 * least(b, x))) > 0)))::DOUBLE, 6) AS bound FROM b"""
+)
+def r10_bound_mismatch(spark, sf):
+    c = F.transform(F.regexp_extract_all("code_content", F.lit("(?:==|<=|<|>|>=) ([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("long"))
+    return cases(spark, sf).where("original_text is not null and code_content is not null").select("case_id", r6(G.bound_mismatch(T.quantified_bounds(F.col("original_text")), c), "bound"))
+
+
+@query("SELECT case_id, round(CASE WHEN original_text IS NULL OR trim(original_text) = '' OR code_content IS NULL OR trim(code_content) = '' OR quality_precision IS NULL OR quality_precision < 0.3 THEN CASE WHEN quality_recall >= 0 THEN 0.35 + 0.65 * quality_recall ELSE 0.5 END ELSE greatest(0, least(1, quality_precision)) END, 6) AS constraint_score FROM defect_detection_case")
+def m6_constraint_score(spark, sf):
+    matched = F.when(F.col("quality_precision") >= 0.3, F.col("quality_precision"))
+    return cases(spark, sf).select("case_id", r6(G.constraint_score(F.col("original_text"), F.col("code_content"), matched, F.col("quality_recall")), "constraint_score"))
+
+
+@query()
+def r7_null_dereference(spark, sf):
+    return cases(spark, sf).where("code_content is not null").select("case_id", G.null_dereference(F.col("code_content")).alias("risk"))
