@@ -22,7 +22,7 @@ def code_lines(files: DataFrame, id_col: str, name_col: str, code_col: str) -> D
     """(id_col, lang, line_no, line) of each line of files with a known extension."""
     lang = F.lower(F.regexp_extract(name_col, r"\.([A-Za-z]+)$", 1))
     rows = files.where(F.col(code_col).isNotNull()).select(id_col, lang.alias("lang"), F.posexplode(F.split(code_col, r"\r\n|\r|\n")).alias("_p", "line"))
-    return rows.where(F.col("lang").isin(list(CHECKS))).select(id_col, "lang", (F.col("_p") + 1).alias("line_no"), "line")
+    return rows.where(F.col("lang").isin(list(CHECKS))).select(id_col, "lang", (F.col("_p") + 1).cast("long").alias("line_no"), "line")
 
 
 def static_defects(lines: DataFrame, id_col: str) -> DataFrame:

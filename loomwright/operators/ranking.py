@@ -13,7 +13,8 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows per key with their rank; each partition drops all but k rows per key before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
+    return ranked.withColumn(rank, F.col(rank).cast("long"))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

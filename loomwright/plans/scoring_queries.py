@@ -183,7 +183,7 @@ def m25_gate_sweep(spark, sf):
 @query(f"WITH {_SCORED}, g AS (SELECT v, NOT false_positive AS bad, CASE v WHEN 0 THEN sem WHEN 1 THEN (1 + sem) / 2 ELSE sqrt(sem) END < 0.75 AS said FROM s, range(0, 3) x(v)) " + _GRID.format(names="v"))
 def m26_ablation(spark, sf):
     x = F.when(F.col("v") == 0, F.col(SEM)).when(F.col("v") == 1, (1 + F.col(SEM)) / 2).otherwise(F.sqrt(F.col(SEM)))
-    return W.graded_grid(scored(spark, sf), ~F.col("false_positive"), x < 0.75, [{"v": i} for i in range(3)])
+    return W.graded_grid(scored(spark, sf), ~F.col("false_positive"), x < 0.75, [{"v": i} for i in range(3)]).withColumn("v", F.col("v").cast("long"))
 
 
 @query(
