@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.session import cut
+
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows; planned as a heap per partition, never a full sort."""
@@ -30,10 +32,10 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 def numbered(df: DataFrame, order: list[str], name: str = "ord", start: int = 0) -> DataFrame:
     """Dense numbers in the given total order.
 
-    Range-partitioned and sorted, then every partition counts on from the rows before it; the counts of the partitions,
-    one row each, are all that passes through one task.
+    Range-partitioned, then every partition sorts and counts on from the rows before it; the counts of the partitions, one
+    row each, are all that passes through one task.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # both uses must see the same ranges
     local = Window.partitionBy("_part").orderBy(*order)
     ranked = ranged.withColumn("_local", F.row_number().over(local))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
