@@ -225,24 +225,27 @@ def _context_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-_UNIT = T.StructType([T.StructField("sort", T.StringType()), T.StructField("key", T.StringType()), T.StructField("sure", T.BooleanType())])
+_UNIT = T.StructType(
+    [T.StructField("sort", T.StringType()), T.StructField("sure", T.BooleanType()), T.StructField("unit", T.LongType()), T.StructField("features", T.BinaryType())]
+)
 
 
 def _expand(docs: DataFrame, contexts, id_type) -> DataFrame:
+    """A row per different unit of a document: its features as hashed numbers, and a hash of these that names the unit."""
     schema = T.StructType([T.StructField("_id", id_type), *_UNIT.fields])
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = contexts.value
         for b in batches:
-            rows = {(i, sort, "\x1f".join(feats), sure) for i, text in zip(b["_id"], b["text"]) for sort, feats, sure in units(text, table)}
-            yield pd.DataFrame(list(rows), columns=schema.names)
+            rows = {(i, sort, sure, _hashed(sort, feats)) for i, text in zip(b["_id"], b["text"]) for sort, feats, sure in units(text, table)}
+            yield pd.DataFrame([(i, sort, sure, xxhash.xxh64_intdigest(f) - (1 << 63), f) for i, sort, sure, f in rows], columns=schema.names)
 
     return docs.mapInPandas(expand, schema)
 
 
-def _features(sort: str, key: str) -> list[int]:
+def _hashed(sort: str, features: tuple[str, ...]) -> bytes:
     kind = "P" if sort == "placeholder" else "T"
-    return [_hash(kind + f, FEATURES) for f in key.split("\x1f")]
+    return np.array([_hash(kind + f, FEATURES) for f in features], dtype=np.int32).tobytes()
 
 
 class Weights:
@@ -262,17 +265,17 @@ class Weights:
             self.odds[k] = np.clip(np.nan_to_num(odds, nan=0.0), -MOST_ODDS, MOST_ODDS).astype(np.float32)
         self.prior = {k: float(np.log((pos[FEATURES + i] + 1) / (neg[FEATURES + i] + 1))) for i, k in enumerate(KINDS)}
 
-    def posterior(self, sort: str, key: str, sure: bool) -> float:
+    def posterior(self, sort: str, features: bytes, sure: bool) -> float:
         if sure:
             return 1.0
         kind = KINDS[sort != "placeholder"]
-        z = self.prior[kind] + float(self.odds[kind][_features(sort, key)].sum())
+        z = self.prior[kind] + float(self.odds[kind][np.frombuffer(features, dtype=np.int32)].sum())
         return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-def _count_unit(pos: np.ndarray, neg: np.ndarray, sort: str, key: str, p: float, n: float) -> None:
+def _count_unit(pos: np.ndarray, neg: np.ndarray, sort: str, features: bytes, p: float, n: float) -> None:
     """Add a unit that occurs n times: its features, then per kind the units and their features in all."""
-    at, kind = _features(sort, key), int(sort != "placeholder")
+    at, kind = np.frombuffer(features, dtype=np.int32), int(sort != "placeholder")
     np.add.at(pos, at, p * n)
     np.add.at(neg, at, (1 - p) * n)
     for i, x in ((FEATURES + kind, n), (FEATURES + 2 + kind, n * len(at))):
@@ -281,7 +284,7 @@ def _count_unit(pos: np.ndarray, neg: np.ndarray, sort: str, key: str, p: float,
 
 
 def _learn(kinds: DataFrame, rounds: int) -> Weights:
-    """Expectation-maximization over kinds(sort, key, sure, n): trusted units stay residue, all others are unlabelled."""
+    """Expectation-maximization over kinds(sort, sure, unit, features, n): trusted units stay residue, all others are unlabelled."""
     spark = kinds.sparkSession
     weights = None
     for _ in range(rounds):
@@ -291,9 +294,9 @@ def _learn(kinds: DataFrame, rounds: int) -> Weights:
             now = shared.value
             pos, neg = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
             for b in batches:
-                for sort, key, sure, n in zip(b["sort"], b["key"], b["sure"], b["n"]):
-                    p = 1.0 if sure else 0.0 if now is None else now.posterior(sort, key, sure)
-                    _count_unit(pos, neg, sort, key, p, n)
+                for sort, features, sure, n in zip(b["sort"], b["features"], b["sure"], b["n"]):
+                    p = 1.0 if sure else 0.0 if now is None else now.posterior(sort, features, sure)
+                    _count_unit(pos, neg, sort, features, p, n)
             hit = (pos + neg).nonzero()[0]
             yield pd.DataFrame({"i": hit.astype(np.int32), "a": pos[hit], "b": neg[hit]})
 
@@ -321,17 +324,17 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     contexts = spark.sparkContext.broadcast(_context_counts(src))
     found = cut(_expand(src, contexts, src.schema["_id"].dataType))
-    kinds = cut(found.groupBy("sort", "key", "sure").agg(F.count(F.lit(1)).alias("n")))
+    kinds = cut(found.groupBy("sort", "sure", "unit").agg(F.first("features").alias("features"), F.count(F.lit(1)).alias("n")))
     weights = spark.sparkContext.broadcast(_learn(kinds, rounds))
 
     @F.pandas_udf(T.DoubleType())
     def posterior(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         now = weights.value
-        for sort, key, sure in batches:
-            yield pd.Series([now.posterior(*x) for x in zip(sort, key, sure)])
+        for sort, features, sure in batches:
+            yield pd.Series([now.posterior(*x) for x in zip(sort, features, sure)], dtype="float64")
 
-    residue = kinds.withColumn("score", posterior("sort", "key", "sure")).where("score > 0.5").select("sort", "key", "sure", "score")
-    hits = spread_join(found, residue, ["sort", "key", "sure"], F.xxhash64("_id"))
+    residue = kinds.withColumn("score", posterior("sort", "features", "sure")).where("score > 0.5").select("sort", "sure", "unit", "score")
+    hits = spread_join(found.drop("features"), residue, ["sort", "sure", "unit"], F.xxhash64("_id"))
     best = F.max(F.struct("score", "sort")).alias("b")
     return hits.groupBy("_id").agg(best, F.count(F.lit(1)).alias("n_units")).select(F.col("_id").alias(id_col), "b.sort", "b.score", "n_units")
 
