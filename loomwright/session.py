@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     small ones, a file of one split, are shuffled, so that work per row does not run in a single task."""
     wanted = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever the driver's working folder. Executors
+    that do not share that folder need it by --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
