@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm.automaton import DEFAULT_PATH, load_tokenizer
+from loomwright.llm import automaton as A
+from loomwright.llm.automaton import DEFAULT_PATH, MergeAutomaton, load_tokenizer
 from loomwright.llm.packing import SumOfSquares, pack_sizes, packing_report
 from loomwright.llm.tokens import count_tokens, encode_corpus
 
@@ -42,6 +43,60 @@ def test_repeated_bytes(library):
             assert load_tokenizer().encode(c * n) == library.encode_ordinary(c * n)
 
 
+def by_merges(word, ranks):
+    """Byte-pair encoding by its definition: the merges in order of rank, each from left to right."""
+    parts = [bytes([x]) for x in word]
+    for a, b in ranks:
+        out = []
+        for p in parts:
+            if out and out[-1] == a and p == b:
+                out[-1] = a + b
+                merged = True
+            else:
+                out.append(p)
+                merged = False
+            if merged:  # what was just made is not merged again by the same merge
+                out.append(b"")
+        parts = [p for p in out if p]
+    return parts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_gadgets_on_made_up_merges(data):
+    """Also tokens that no word is encoded with, since an earlier merge cuts their path."""
+    pieces, merges = [b"a", b"b", b"c"], []
+    for _ in range(data.draw(st.integers(0, 9))):
+        a, b = data.draw(st.sampled_from(pieces)), data.draw(st.sampled_from(pieces))
+        if a + b not in pieces and len(a + b) < 12:
+            pieces.append(a + b)
+            merges.append((a, b))
+    automaton = MergeAutomaton({p: i for i, p in enumerate(pieces)}, merges)
+    for word in data.draw(st.lists(st.text("abc", min_size=1, max_size=14), max_size=8)):
+        got = [automaton.label[i] for i in automaton.encode_word(word.encode())]
+        assert got == by_merges(word.encode(), merges)
+
+
+def test_tables_start_afresh(library, monkeypatch):
+    monkeypatch.setattr(A, "STATE_ENTRIES", 5)
+    monkeypatch.setattr(A, "ARC_ENTRIES", 3)
+    monkeypatch.setattr(A, "WORD_ENTRIES", 2)
+    load_tokenizer.cache_clear()
+    text = "The requirement was checked twice, 检查数量 and again: unbelievable " * 3
+    assert load_tokenizer().encode(text) == library.encode_ordinary(text)
+    load_tokenizer.cache_clear()
+
+
+def test_states_are_shared_and_few(library):
+    one = load_tokenizer().automaton
+    one._reset()
+    one.encode_word(b"interesting")
+    n = len(one.states)
+    one.encode_word(b"interesting")
+    assert len(one.states) == n <= 1 + len("interesting")
+    assert all(s.next for s in one.states.values() if s.context == b"")
+
+
 def test_corpus_edge_cases(spark, library):
     long = "检查数量 value 12 " * 20_000
     rows = [(1, None, "x"), (2, "", "x"), (3, "  ", "x"), (4, long, "x"), (4, long, "x"), (5, "﻿a\r\nb", None)]
