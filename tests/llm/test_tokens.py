@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from loomwright.llm import automaton as A
 from loomwright.llm.automaton import DEFAULT_PATH, MergeAutomaton, load_tokenizer
-from loomwright.llm.packing import SumOfSquares, pack_sizes, packing_report
+from loomwright.llm.packing import SumOfSquares, merge_plan, pack_sizes, packing_report
 from loomwright.llm.tokens import count_tokens, encode_corpus
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DEFAULT_PATH), reason="no vocabulary files")
@@ -155,3 +155,46 @@ def test_packing_whole(spark):
         assert len(fill) <= sum(fill.values()) / 10 * 1.1
     assert pack_sizes(sizes.limit(0)).count() == 0
     assert packing_report(pack_sizes(sizes, capacity=10), 10).first().containers >= 1
+
+
+def filled(packed):
+    fill = {}
+    for r in packed.collect():
+        fill.setdefault(r.container, []).append(r.length)
+    return fill
+
+
+@pytest.mark.parametrize(
+    "lengths, per, capacity, most",
+    [
+        ([1100] * 200, 50, 2048, 200),  # none fills a container, none fits beside another
+        ([1024] * 200, 50, 2048, 100),  # all fill exactly
+        ([700] * 201, 50, 2048, 101),
+        ([1100, 900] * 101, 40, 2048, 126),  # within a quarter of the least number
+        ([7] * 50 + [3] * 50, 50, 10, 50),
+        ([5], 1, 10, 1),
+        ([5, 5], 1, 10, 1),
+        ([10] * 9, 2, 10, 9),
+        (list(range(1, 101)), 100, 101, 62),  # as many items as one packer takes
+        (list(range(1, 102)), 100, 101, 63),  # and one more
+    ],
+)
+def test_packing_ends(spark, lengths, per, capacity, most):
+    sizes = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    fill = filled(pack_sizes(sizes, capacity=capacity, items_per_packer=per))
+    assert sorted(x for xs in fill.values() for x in xs) == sorted(lengths)
+    assert max(map(sum, fill.values())) <= capacity
+    assert len(fill) <= most
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 19), st.integers(1, 50)))
+def test_merge_plan(counts):
+    boxes, seen = {}, set()
+    for level, first, number, group in merge_plan(counts, 20):
+        for i in range(number):
+            assert (level, first + i) not in seen
+            seen.add((level, first + i))
+            boxes[group + i] = boxes.get(group + i, 0) + level
+    assert seen == {(h, i) for h, n in counts.items() for i in range(n)}
+    assert all(x <= 20 for x in boxes.values())
