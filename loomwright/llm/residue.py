@@ -15,14 +15,23 @@ from pyspark.sql import types as T
 from loomwright.operators.skew import spread_join
 from loomwright.session import cut, spread
 
-#: Sizes of the hashed tables of contexts and of features; they bound what is gathered, whatever the corpus.
-CONTEXTS, FEATURES = 1 << 23, 1 << 18
-#: A context is common from this many occurrences in passages without placeholders.
-COMMON = 2
-ROUNDS = 3
+#: Size of the hashed table of features; it bounds what is gathered, whatever the corpus.
+FEATURES = 1 << 18
+#: Weight of an unlabelled unit's posterior among the positives. Below one, so that no unit confirms itself.
+UNLABELLED = 0.5
+#: Expectation-maximization ends once the expected number of residue units moves by less than this share of it.
+TOLERANCE = 1e-3
+MAX_ROUNDS = 200
 #: Features that a class's shares are shrunk by, and the most that one feature can say.
 SHRINK, MOST_ODDS = 100.0, 6.0
-KINDS = ("placeholder", "passage")
+#: Kinds of units: placeholders with nothing around them, those within a sentence, passages. Each has a model of its own.
+KINDS = ("alone", "slot", "passage")
+#: A placeholder is trusted if at least this share of its contexts' occurrences, on both sides, is filled in.
+FILLED = 0.9
+#: Bits of the filter per placeholder context, and its bounds. The filter only saves work: counts are exact.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
+#: Passages remembered per worker; only saves time.
+REMEMBERED = 100_000
 
 # How unfilled placeholders look, by sort.
 SHAPES = [
@@ -47,12 +56,15 @@ SHAPES = [
     ("undefined", r"(?<![\w.])undefined(?![\w.])|\[object Object\]|(?<!\w)NaN(?!\w)"),
 ]
 _SHAPE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in SHAPES))
+#: What every shape holds, for a quick look.
+HINT = r"[{\[<%@_×【［＜]|XX|\(t|TB[DCA]|undefined|NaN|此处填写"
+_HINT = re.compile(HINT)
 
 # Passages that are trusted to be filler, error messages, or notices about scripts, cookies and browsers.
 TRUSTED = [
-    ("filler", r"lorem ipsum dolor|\b(?:text ){2,}text\b|^(?:sample|dummy|example|placeholder) text\.?$|^(?:text){3,}|^beispieltext|^texte d'exemple|^texto de ejemplo|(?:your|the) (?:content|text) goes here|^enter the (?:description|text)|^this is a dummy|^(?:(?:asdf(?:gh)?|qwer(?:ty)?|zxcv|jkl|xxx|foo|bar|blah|test\\d*)[\\s.,;]*){2,}$|请在此输入|^示例文字|^(?:这里是正文|标题文字|占位文字|文本文本)"),
-    ("error", r"^(?:http status |error |错误 ?|erreur |fehler )?[45]\d\d(?:[ :–-]+(?:[a-z]+ ){0,3}(?:bad request|unauthorized|forbidden|not found|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out))?\.?$|^http status [45]\d\d|^(?:access denied|permission denied|internal server error|bad gateway|service unavailable|error page)\.?$|(?:page|file|document) (?:you requested )?(?:could not be found|does not exist|was not found)|do not have permission to|session has (?:ended|expired)|could not connect to the database|down for maintenance|unexpected error \(type=|^traceback \(most recent call last|^(?:caused by: )?(?:[a-z_]\w*\.)+[A-Za-z]\w*(?:error|exception)\b|^\w+error: |^at (?:[\w$]+\.)+[\w$<>]+\(|the origin could not handle|^\{\"(?:code|status|error)\": ?[\"']?[45]|(?:页面|文件|文档)(?:不存在|不见了|已被删除)|您要找的页面|没有权限访问|登录(?:状态)?已(?:失效|过期)|系统繁忙|服务器(?:开小差|内部错误|繁忙)|^错误码[:：]|加载失败[:：]|访问过于频繁|se encuentra la página|page demandée est introuvable|seite wurde nicht gefunden"),
-    ("script", r"(?:enable|activate|allow|requires?|needs?) (?:javascript|scripts|cookies)|javascript is (?:disabled|switched off|required|turned off)|browser is (?:outdated|not supported|too old)|checking your browser|scripts and cookies must|<noscript>|(?:启用|开启|打开) ?(?:javascript|脚本)|(?:未开启|未启用|不支持|禁用了?) ?(?:javascript|脚本)|需要 ?(?:启用脚本|javascript)|检查脚本是否被拦截|浏览器版本过低|正在检查您的浏览器|aktivieren sie javascript|activer javascript|active javascript|activez javascript|javascriptを有効"),
+    ("filler", r"^(?:lorem ipsum|dolor sit amet)\b|lorem ipsum dolor|\b(?:text ){2,}text\b|^(?:sample|dummy|example|placeholder) text\.?$|^(?:text){3,}|^beispieltext|^texte d'exemple|^texto de ejemplo|(?:your|the) (?:content|text) goes here|^enter the (?:description|text)|^this is a dummy|^(?:(?:asdf(?:gh)?|qwer(?:ty)?|zxcv|jkl|xxx|foo|bar|blah|test\d*)[\s.,;]*){2,}$|请在此输入|^示例文字|^(?:这里是正文|标题文字|占位文字|文本文本)"),
+    ("error", r"^(?:http status |error |错误 ?|erreur |fehler )?[45]\d\d(?:[ :–-]+(?:[a-z]+ ){0,3}(?:bad request|unauthorized|forbidden|not found|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out))?\.?$|^http status [45]\d\d|^(?:access denied|permission denied|internal server error|bad gateway|service unavailable|error page)\.?$|(?:page|file|document) (?:you requested )?(?:could not be found|does not exist|was not found)|do not have permission to|session has (?:ended|expired)|could not connect to the database|down for maintenance|unexpected error \(type=|^traceback \(most recent call last|^(?:caused by: )?(?:[a-z_]\w*\.)+[A-Za-z]\w*(?:error|exception)\b|^\w+error: |^at (?:[\w$]+\.)+[\w$<>]+\(|the origin could not handle|^\{\"(?:code|status|error)\": ?[\"']?[45]|(?:页面|文件|文档)(?:不存在|不见了|已被删除)|您要找的页面|没有权限访问|登录(?:状态)?已(?:失效|过期)|系统繁忙|服务器(?:开小差|内部错误|繁忙)|^错误码[:：]|加载失败[:：]|访问过于频繁|se encuentra la página|page demandée est introuvable|seite (?:wurde )?nicht gefunden|ページが見つかりません|페이지를 찾을 수 없습니다|страница не найдена"),
+    ("script", r"(?:enable|activate|allow|requires?|needs?) (?:javascript|scripts|cookies)|javascript is (?:disabled|switched off|required|turned off)|browser is (?:outdated|not supported|too old)|checking your browser|scripts and cookies must|<noscript>|(?:启用|开启|打开) ?(?:javascript|脚本)|(?:未开启|未启用|不支持|禁用了?) ?(?:javascript|脚本)|需要 ?(?:启用脚本|javascript)|检查脚本是否被拦截|浏览器版本过低|正在检查您的浏览器|aktivieren sie javascript|activer javascript|active javascript|activez javascript|javascriptを有効|자바스크립트를 켜|включите javascript"),
 ]
 _TRUSTED = [(name, re.compile(pattern, re.I)) for name, pattern in TRUSTED]
 
@@ -68,16 +80,25 @@ _TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힣]+|[^\W\d_㐀-鿿぀-ヿ가-힣]+|\d
 _CJK = re.compile(r"[㐀-鿿぀-ヿ가-힣]")
 
 
+_RESPONSE = re.compile(r"^\s*\{\"\w+\":")
+
+
 def _hash(text: str, size: int) -> int:
     return xxhash.xxh64_intdigest(text) & (size - 1)
 
 
+def _shaped(text: str) -> bool:
+    return _HINT.search(text) is not None and _SHAPE.search(text) is not None
+
+
 def lines(text: str) -> Iterator[tuple[str, bool]]:
-    """(line, whether it is a log line) outside code, without list marks and log prefixes; quotations and paths blanked."""
+    """(line, whether it is a log line) outside code, without list marks and log prefixes; quotations and paths blanked,
+    but not the strings of a bare response object."""
     for line in re.split(r"[\r\n]+", _FENCE.sub("\n", text.replace("﻿", ""))):
         log = _LOG.match(line)
         line = line[log.end() :] if log else line
-        line = _PATH.sub(" ", _QUOTED.sub(" ", _ITEM.sub("", line))).strip().strip("》").strip()
+        line = _ITEM.sub("", line)
+        line = _PATH.sub(" ", line if _RESPONSE.match(line) else _QUOTED.sub(" ", line)).strip().strip("》").strip()
         if line:
             yield line, bool(log)
 
@@ -86,56 +107,41 @@ def _fold(text: str) -> str:
     return re.sub(r"\d+", "0", text.lower())
 
 
+#: Characters of a context: beside Han, kana or hangul, and beside other characters.
+NEAR_CJK, NEAR_OTHER = 3, 10
+_EDGE = "\n" * NEAR_OTHER
+
+
 def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """The two places in the context table of each run of n characters: shape (2, runs). A run counts as common where both
-    places do, so that it rarely shares its luck with others."""
+    """A 64-bit hash of each run of n characters."""
     if len(codes) < n:
-        return np.zeros((2, 0), dtype=np.int64)
+        return np.zeros(0, dtype=np.int64)
     h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k]
         h ^= h >> np.uint64(29)
-    h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.stack([h & np.uint64(CONTEXTS - 1), (h >> np.uint64(36)) & np.uint64(CONTEXTS - 1)]).astype(np.int64)
+    return (h * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-#: Characters of a context: beside Han, kana or hangul, and beside other characters.
-NEAR_CJK, NEAR_OTHER = 3, 10
-_EDGE = "\n" * NEAR_OTHER
-
-
-def _add_contexts(total: np.ndarray, seen: dict[str, int]) -> None:
-    """Count the contexts of lines that occur so often each; all lines of a batch at once, with edges between them."""
-    if not seen:
-        return
-    folded = [_EDGE + _fold(line) for line in seen]
-    codes = _codes("".join(folded) + _EDGE)
-    times = np.repeat(np.fromiter(seen.values(), dtype=np.int32, count=len(seen)), [len(x) for x in folded])
-    for n in (NEAR_CJK, NEAR_OTHER):
-        for places in _gram_hashes(codes, n):
-            np.add.at(total, places, times[: len(places)] if len(times) >= len(places) else np.pad(times, (0, len(places) - len(times)), mode="edge"))
-
-
-def _side(text: str, left: bool, contexts: np.ndarray) -> str:
-    """edge (nothing there), start (a sentence's edge), common or rare."""
+def _side(text: str, left: bool) -> str | int:
+    """edge (nothing there), start (a sentence's edge), or the hash of the characters next to a placeholder."""
     text = _fold(text)
-    if not text.strip(" 。.!！；;,，:：-"):
+    if not text.strip(" 。.!！；;，,:：-"):
         return "edge"
     if re.search(r"[。！？]\s*$|[.!?]\s+$", text) if left else re.match(r"[。！？]|[.!?]\s", text):
         return "start"
     near = text.rstrip()[-1:] if left else text.lstrip()[:1]
     n = NEAR_CJK if _CJK.match(near) else NEAR_OTHER
-    part = (_EDGE + text)[-n:] if left else (text + _EDGE)[:n]
-    return "common" if contexts[_gram_hashes(_codes(part), n)[:, 0]].min() >= COMMON else "rare"
+    return int(_gram_hashes(_codes((_EDGE + text)[-n:] if left else (text + _EDGE)[:n]), n)[0])
 
 
-def slots(line: str, contexts: np.ndarray) -> Iterator[tuple[str, str]]:
-    """(left side, right side) of each placeholder of a line; placeholders close to each other share their outer sides. A
-    field label with its colon counts as an edge."""
+def slots(line: str) -> Iterator[tuple[str | int, str | int, str]]:
+    """(left side, right side, the sentence around it) of each placeholder of a line; placeholders close to each other share
+    their outer sides. A field label with its colon, at the start of the line or of the sentence, counts as an edge."""
     found = [m.span() for m in _SHAPE.finditer(line)]
     label = _LABEL.match(line)
     start = label.end() if label and not any(a < label.end() for a, _ in found) else 0
@@ -146,10 +152,11 @@ def slots(line: str, contexts: np.ndarray) -> Iterator[tuple[str, str]]:
         else:
             groups.append([a, b])
     for a, b in groups:
-        yield _side(line[start:a], True, contexts), _side(line[b:], False, contexts)
+        left, right = re.split(_SENTENCE, line[start:a])[-1], re.split(_SENTENCE, line[b:])[0]
+        yield "edge" if _LABEL.fullmatch(left) else _side(line[start:a], True), _side(line[b:], False), _SHAPE.sub(" ", f"{left} {right}")
 
 
-def tokens(passage: str) -> list[str]:
+def words(passage: str) -> list[str]:
     """Words without case, Han and kana in overlapping pairs, numbers by their length and leading digit, repeats."""
     out = []
     for m in _TOKEN.finditer(passage.lower()):
@@ -160,11 +167,18 @@ def tokens(passage: str) -> list[str]:
             out.append(f"#{len(w)}{w[0] if len(w) == 3 else ''}")
         else:
             out.append(w)
-    if _REPEAT.search(re.sub(r"[\s.\-_=*#|]", "", passage)):
+    repeat = _REPEAT.search(re.sub(r"[\s.\-_=*#|]", "", passage))
+    if repeat and len(set(repeat[1])) > 1:
         out += ["<repeat>"] * 4
     return out
 
 
+def tokens(passage: str) -> list[str]:
+    """Words, and pairs of a word that is not in Han, kana or hangul with the one before it."""
+    single = words(passage)
+    return single + [f"{a} {b}" for a, b in zip(["^", *single], single) if not _CJK.match(b)]
+
+
 def passages(line: str) -> list[str]:
     return [p for p in (s.strip() for s in _SENTENCE.split(line) if s) if p]
 
@@ -180,20 +194,6 @@ def trusted(passage: str) -> str | None:
     return None
 
 
-def units(text: str, contexts: np.ndarray) -> Iterator[tuple[str, tuple[str, ...], bool]]:
-    """(sort, features, trusted) of each placeholder and passage of a document."""
-    for line, log in lines(text):
-        for left, right in slots(line, contexts):
-            yield "placeholder", (f"left:{left}", f"right:{right}", f"sides:{left}-{right}"), "edge" in (left, right) or "rare" not in (left, right)
-        if log or _SHAPE.search(line):
-            continue
-        for passage in passages(line):
-            sort = trusted(passage)
-            words = tokens(passage)
-            if words:
-                yield sort or "passage", tuple(words), sort is not None and not _normative(passage)
-
-
 # Words by which a passage speaks about such things instead of being one.
 _RULE = re.compile(r"\b(?:shall|must(?! be on)|should|waits?|expects?|types|review|rule \d|defect|returns?|reported|accept)\b|须|应(?!用)|时，|不得|用例|规则|返回 ?[45]\d\d", re.I)
 
@@ -202,50 +202,144 @@ def _normative(passage: str) -> bool:
     return bool(_RULE.search(passage)) and not re.search(r"[您请抱歉]|^[\w.]+(?:error|exception)|\byour?\b|^<", passage, re.I)
 
 
-_SPARSE = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+def _features(kind: int, feats: list[str]) -> bytes:
+    return np.array([_hash("PT"[kind] + f, FEATURES) for f in feats], dtype=np.int32).tobytes()
 
 
-def _context_counts(docs: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CONTEXTS, dtype=np.int32)
-        for b in batches:
-            seen: dict[str, int] = {}
-            for text in b["text"]:
-                for line, _ in lines(text):
-                    if not _SHAPE.search(line):
-                        line = line[_LABEL.match(line).end() :] if _LABEL.match(line) else line
-                        seen[line] = seen.get(line, 0) + 1
-            _add_contexts(total, seen)
-        at = total.nonzero()[0]
-        yield pd.DataFrame({"i": at.astype(np.int32), "a": np.minimum(total[at], COMMON).astype(np.float64), "b": 0.0})
-
-    got = docs.select("text").mapInPandas(count, _SPARSE).groupBy("i").agg(F.sum("a").alias("a")).where(F.col("a") >= COMMON).toPandas()  # at most CONTEXTS rows
-    out = np.zeros(CONTEXTS, dtype=np.int8)
-    out[got["i"].to_numpy()] = COMMON
-    return out
-
+def _unit(features: bytes) -> int:
+    return xxhash.xxh64_intdigest(features) - (1 << 63)
 
-_UNIT = T.StructType(
-    [T.StructField("sort", T.StringType()), T.StructField("sure", T.BooleanType()), T.StructField("unit", T.LongType()), T.StructField("features", T.BinaryType())]
-)
 
+class _Passages(dict):
+    """What is known of a passage: (sort, trusted, unit, features), or None if it has no words."""
 
-def _expand(docs: DataFrame, contexts, id_type) -> DataFrame:
-    """A row per different unit of a document: its features as hashed numbers, and a hash of these that names the unit."""
-    schema = T.StructType([T.StructField("_id", id_type), *_UNIT.fields])
+    def __missing__(self, passage: str) -> tuple | None:
+        feats, known = tokens(passage), None
+        if feats:
+            sort, features = trusted(passage), _features(1, feats)
+            known = (sort or "passage", sort is not None and not _normative(passage), _unit(features), features)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[passage] = known
+        return known
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = contexts.value
-        for b in batches:
-            rows = {(i, sort, sure, _hashed(sort, feats)) for i, text in zip(b["_id"], b["text"]) for sort, feats, sure in units(text, table)}
-            yield pd.DataFrame([(i, sort, sure, xxhash.xxh64_intdigest(f) - (1 << 63), f) for i, sort, sure, f in rows], columns=schema.names)
 
-    return docs.mapInPandas(expand, schema)
+def _asked(docs: DataFrame) -> DataFrame:
+    """(context, p): contexts of placeholders, and how many documents have each so."""
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sides = [x for text in b["text"] for x in {x for line, _ in lines(text) if _shaped(line) for slot in slots(line) for x in slot[:2] if isinstance(x, int)}]
+            at, n = np.unique(np.array(sides, dtype=np.int64), return_counts=True)
+            yield pd.DataFrame({"context": at, "p": n.astype(np.int64)})
+
+    shaped = docs.where(F.col("text").rlike(HINT)).select("text")
+    return shaped.mapInPandas(ask, "context long, p long").groupBy("context").agg(F.sum("p").alias("p"))
+
+
+def _filter(asked: DataFrame) -> np.ndarray:
+    """Bits of the contexts' hashes, as bytes: at most MOST_BITS bits, so that many contexts share bits, never fewer."""
+    bits = LEAST_BITS
+    n = asked.count()
+    while bits < min(FILTER_BITS * n, MOST_BITS):
+        bits *= 2
+    place = F.col("context").bitwiseAND(F.lit(bits - 1)) + 1
+    got = asked.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toPandas()  # at most MOST_BITS / 32768 rows of 4 KB
+    out = np.zeros((bits // 32768, 4096), dtype=np.uint8)
+    for bucket, part in zip(got["bucket"], got["bits"]):
+        out[bucket - 1] = np.frombuffer(bytes(part), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _count_contexts(seen: dict[str, int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, occurrences) that pass the filter, in lines that occur so often each; with edges between the lines."""
+    hits, times = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if seen:
+        folded = [_EDGE + _fold(line) for line in seen]
+        codes = _codes("".join(folded) + _EDGE)
+        often = np.repeat(np.fromiter(seen.values(), dtype=np.int64, count=len(seen)), [len(x) for x in folded])
+        for n in (NEAR_CJK, NEAR_OTHER):
+            h = _gram_hashes(codes, n)
+            place = h & (len(bits) * 8 - 1)
+            hit = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).nonzero()[0]
+            hits.append(h[hit])
+            times.append(often[np.minimum(hit, len(often) - 1)])
+    at, inverse = np.unique(np.concatenate(hits), return_inverse=True)
+    return at, np.bincount(inverse, weights=np.concatenate(times), minlength=len(at)).astype(np.int64)
+
+
+_ROW = [("kind", T.StringType()), ("sort", T.StringType()), ("sure", T.BooleanType()), ("unit", T.LongType()), ("features", T.BinaryType()), ("left", T.StringType()), ("right", T.StringType()), ("n", T.LongType())]
+
+
+def _parsed(docs: DataFrame, bits, id_type) -> DataFrame:
+    """All that is read from the texts, in one pass. Rows of kind T: a row per document and different passage, with its
+    features once per batch. P: a row per placeholder with its sides, and the words around it as features. C: a context
+    of placeholders (unit) that occurs n times filled in, equal lines of a document counting once."""
+    schema = T.StructType([T.StructField("_id", id_type), *[T.StructField(*x) for x in _ROW]])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, table = _Passages(), bits.value
+        for b in batches:
+            out, filled, sent = [], {}, set()
+            for i, text in zip(b["_id"], b["text"]):
+                own, plain = set(), set()
+                for line, log in lines(text):
+                    shaped = _shaped(line)
+                    if shaped:
+                        for left, right, around in slots(line):
+                            out.append((i, "P", "placeholder", False, None, _features(0, ["w " + w for w in words(around)]), str(left), str(right), None))
+                    else:
+                        label = _LABEL.match(line)
+                        plain.add(line[label.end() :] if label else line)
+                    if log:
+                        continue
+                    for passage in passages(line):
+                        if not (shaped and _shaped(passage)):
+                            unit = known[passage]
+                            if unit:
+                                own.add(unit)
+                for line in plain:
+                    filled[line] = filled.get(line, 0) + 1
+                for sort, sure, unit, features in own:
+                    key = (sort, sure, unit)
+                    out.append((i, "T", sort, sure, unit, None if key in sent else features, None, None, None))
+                    sent.add(key)
+            out += [(None, "C", None, None, int(h), None, None, None, int(n)) for h, n in zip(*_count_contexts(filled, table))]
+            yield pd.DataFrame(out, columns=schema.names, dtype=object)  # nulls must not turn the hashes into floats
+
+    return docs.mapInPandas(parse, schema)
+
+
+def _bin(share) -> str:
+    """A side of a placeholder: edge, start, or how much of its occurrences is filled in."""
+    return share if isinstance(share, str) else "never" if share == 0 else "seldom" if share < 0.5 else "often" if share < FILLED else "mostly"
+
+
+def _placeholders(rows: DataFrame, asked: DataFrame, id_type) -> DataFrame:
+    """Units of placeholders: (_id, sort, sure, unit, features). Trusted are those at an edge or after a label, and those
+    between contexts that are mostly filled in (or a sentence's edge)."""
+    filled = rows.where("kind = 'C'").groupBy(F.col("unit").alias("context")).agg(F.sum("n").alias("f"))
+    share = F.coalesce(F.col("f"), F.lit(0)) / (F.coalesce(F.col("f"), F.lit(0)) + F.col("p"))
+    shares = cut(asked.join(filled, "context", "left").select("context", share.alias("share")))
+    own = rows.where("kind = 'P'").select("_id", "features", "left", "right")
+    for side in ("left", "right"):
+        keyed = own.withColumn("context", F.expr(f"try_cast({side} as bigint)"))
+        joined = spread_join(keyed.where("context is not null"), shares, ["context"], F.xxhash64("_id"))  # a row per context
+        own = joined.unionByName(keyed.where("context is null").withColumn("share", F.lit(None).cast("double"))).withColumnRenamed("share", f"{side}_share").drop("context")
+    schema = T.StructType([T.StructField("_id", id_type), *[T.StructField(*x) for x in _ROW if x[0] in ("sort", "sure", "unit", "features")]])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, around, *sides in zip(b["_id"], b["features"], b["left"], b["left_share"], b["right"], b["right_share"]):
+                left, right = (_bin(side if side in ("edge", "start") else share) for side, share in zip(sides[::2], sides[1::2]))
+                features = _features(0, [f"left {left}", f"right {right}", f"sides {left} {right}"]) + around
+                alone = left == right == "edge"
+                sure = alone or {left, right} <= {"edge", "start", "mostly"}
+                out.append((i, "alone" if alone else "slot", sure, _unit(features), features))
+            yield pd.DataFrame(out, columns=schema.names)
 
-def _hashed(sort: str, features: tuple[str, ...]) -> bytes:
-    kind = "P" if sort == "placeholder" else "T"
-    return np.array([_hash(kind + f, FEATURES) for f in features], dtype=np.int32).tobytes()
+    return own.mapInPandas(finish, schema)
 
 
 class Weights:
@@ -255,7 +349,7 @@ class Weights:
     has bounded odds, and one seen in none has none."""
 
     def __init__(self, pos: np.ndarray, neg: np.ndarray):
-        mass = {k: (pos[FEATURES + 2 + i], neg[FEATURES + 2 + i]) for i, k in enumerate(KINDS)}
+        mass = {k: (pos[FEATURES + len(KINDS) + i], neg[FEATURES + len(KINDS) + i]) for i, k in enumerate(KINDS)}
         every = pos[:FEATURES] + neg[:FEATURES]
         self.odds = {}
         for k, (a, b) in mass.items():
@@ -265,76 +359,99 @@ class Weights:
             self.odds[k] = np.clip(np.nan_to_num(odds, nan=0.0), -MOST_ODDS, MOST_ODDS).astype(np.float32)
         self.prior = {k: float(np.log((pos[FEATURES + i] + 1) / (neg[FEATURES + i] + 1))) for i, k in enumerate(KINDS)}
 
-    def posterior(self, sort: str, features: bytes, sure: bool) -> float:
-        if sure:
-            return 1.0
-        kind = KINDS[sort != "placeholder"]
-        z = self.prior[kind] + float(self.odds[kind][np.frombuffer(features, dtype=np.int32)].sum())
-        return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
+    def posterior(self, sorts: pd.Series, features: pd.Series) -> np.ndarray:
+        """Probability that each unit is residue, whatever label it was given."""
+        at, lengths = _flat(features)
+        starts = np.cumsum(lengths) - lengths
+        of_kind = _kind(sorts)
+        z = np.array([self.prior[k] for k in KINDS])[of_kind]
+        for i, k in enumerate(KINDS):
+            total = np.concatenate([[0.0], np.cumsum(self.odds[k][at], dtype=np.float64)])
+            z = np.where(of_kind == i, z + total[starts + lengths] - total[starts], z)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _count_unit(pos: np.ndarray, neg: np.ndarray, sort: str, features: bytes, p: float, n: float) -> None:
-    """Add a unit that occurs n times: its features, then per kind the units and their features in all."""
-    at, kind = np.frombuffer(features, dtype=np.int32), int(sort != "placeholder")
-    np.add.at(pos, at, p * n)
-    np.add.at(neg, at, (1 - p) * n)
-    for i, x in ((FEATURES + kind, n), (FEATURES + 2 + kind, n * len(at))):
-        pos[i] += p * x
-        neg[i] += (1 - p) * x
+def _kind(sorts: pd.Series) -> np.ndarray:
+    return sorts.map({k: i for i, k in enumerate(KINDS)}).fillna(len(KINDS) - 1).to_numpy(dtype=int)
 
 
-def _learn(kinds: DataFrame, rounds: int) -> Weights:
-    """Expectation-maximization over kinds(sort, sure, unit, features, n): trusted units stay residue, all others are unlabelled."""
+def _flat(features: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    parts = [bytes(f) for f in features]
+    return np.frombuffer(b"".join(parts), dtype=np.int32), np.fromiter((len(f) // 4 for f in parts), dtype=np.int64, count=len(parts))
+
+
+_SPARSE = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+_CHANGE = -1
+#: What is summed per class: each feature, then per kind its units and the features of these.
+_SUMS = FEATURES + 2 * len(KINDS)
+
+
+def _learn(kinds: DataFrame, max_rounds: int) -> Weights:
+    """Expectation-maximization over kinds(sort, sure, unit, features, n): in fitting, trusted units stay residue, all others
+    are unlabelled and count among the positives by UNLABELLED times their posterior."""
     spark = kinds.sparkSession
-    weights = None
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
+    before, now = None, None
+    for _ in range(max_rounds):
+        shared = spark.sparkContext.broadcast((before, now))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            now = shared.value
-            pos, neg = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
+            old, new = shared.value
+            pos, neg, moved = np.zeros(_SUMS), np.zeros(_SUMS), 0.0
             for b in batches:
-                for sort, features, sure, n in zip(b["sort"], b["features"], b["sure"], b["n"]):
-                    p = 1.0 if sure else 0.0 if now is None else now.posterior(sort, features, sure)
-                    _count_unit(pos, neg, sort, features, p, n)
+                sure, n, kind = b["sure"].to_numpy(dtype=bool), b["n"].to_numpy(dtype=float), _kind(b["sort"])
+                p, q = (np.where(sure, 1.0, 0.0 if w is None else UNLABELLED * w.posterior(b["sort"], b["features"])) for w in (new, old))
+                moved += float((np.abs(p - q) * n).sum())
+                at, lengths = _flat(b["features"])
+                for total, weight in ((pos, p * n), (neg, (1 - p) * n)):
+                    total[:FEATURES] += np.bincount(at, weights=np.repeat(weight, lengths), minlength=FEATURES)
+                    total[FEATURES : FEATURES + len(KINDS)] += np.bincount(kind, weights=weight, minlength=len(KINDS))
+                    total[FEATURES + len(KINDS) :] += np.bincount(kind, weights=weight * lengths, minlength=len(KINDS))
             hit = (pos + neg).nonzero()[0]
-            yield pd.DataFrame({"i": hit.astype(np.int32), "a": pos[hit], "b": neg[hit]})
+            yield pd.DataFrame({"i": np.append(hit, _CHANGE).astype(np.int32), "a": np.append(pos[hit], moved), "b": np.append(neg[hit], 0.0)})
 
-        got = kinds.mapInPandas(step, _SPARSE).groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # at most FEATURES + 4 rows
-        pos, neg = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
+        got = kinds.mapInPandas(step, _SPARSE).groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # at most _SUMS + 1 rows
+        moved = float(got.loc[got["i"] == _CHANGE, "a"].sum())
+        got = got[got["i"] != _CHANGE]
+        pos, neg = np.zeros(_SUMS), np.zeros(_SUMS)
         pos[got["i"]], neg[got["i"]] = got["a"], got["b"]
-        weights = Weights(pos, neg)
-    return weights
-
-
-def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Documents with residue: id_col, sort (placeholder, filler, error, script, or passage where the model alone found
-    it), score (highest posterior of a unit), n_units (residue units).
-
-    Units are placeholders with their contexts, and passages (sentences) with their words. Code, quotations and paths are
-    not looked at; log lines only for placeholders. Trusted positives are placeholders that stand alone, after a field
-    label, or between contexts that occur filled elsewhere, and passages with a trusted wording; everything else is
-    unlabelled. Naive Bayes is learned from both by expectation-maximization, then scores every unit; a document is
-    residue if any of its units has a posterior above one half.
-
-    Null, empty and blank texts give no row, repeated rows one. Statistics come from all documents: contexts and
-    features are hashed into tables of fixed size, units that look alike are counted before learning.
+        before, now, first = now, Weights(pos, neg), now is None
+        if not first and moved <= TOLERANCE * max(1.0, pos[FEATURES : FEATURES + len(KINDS)].sum()):
+            return now
+    raise RuntimeError(f"expectation-maximization has not settled after {max_rounds} rounds")
+
+
+def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Documents with residue: id_col, sort (placeholder, filler, error, script, or passage where no wording names the
+    sort), score (highest posterior of a unit), n_units (residue units).
+
+    Units are placeholders with their sides and the words around them, and passages (sentences) with their words. Code,
+    quotations and paths are not looked at; log lines only for placeholders. Trusted records, for fitting only, are
+    placeholders that stand alone, after a field label, or between contexts that are mostly filled in elsewhere, and
+    passages with a trusted wording; everything else is unlabelled. Naive Bayes is learned from both by
+    expectation-maximization until it settles (an error after ``max_rounds``), then scores every unit, trusted or not; a
+    document is residue if any of its units has a posterior above one half.
+
+    Null, empty and blank texts give no row, repeated rows one. Statistics come from all documents: contexts of
+    placeholders are counted exactly, as a share of their own occurrences, which does not depend on the size of the corpus;
+    features are hashed into a table of fixed size; units that look alike are counted before learning.
     """
     src = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.length(F.trim("text")) > 0))
-    spark = docs.sparkSession
-    contexts = spark.sparkContext.broadcast(_context_counts(src))
-    found = cut(_expand(src, contexts, src.schema["_id"].dataType))
-    kinds = cut(found.groupBy("sort", "sure", "unit").agg(F.first("features").alias("features"), F.count(F.lit(1)).alias("n")))
-    weights = spark.sparkContext.broadcast(_learn(kinds, rounds))
+    spark, id_type = docs.sparkSession, src.schema["_id"].dataType
+    asked = cut(_asked(src))
+    rows = cut(_parsed(src, spark.sparkContext.broadcast(_filter(asked)), id_type))
+    unit = ["_id", "sort", "sure", "unit", "features"]
+    found = rows.where("kind = 'T'").select(*unit).unionByName(cut(_placeholders(rows, asked, id_type)).select(*unit))
+    kinds = cut(found.groupBy("sort", "sure", "unit").agg(F.first("features", ignorenulls=True).alias("features"), F.count(F.lit(1)).alias("n")))
+    weights = spark.sparkContext.broadcast(_learn(kinds, max_rounds))
 
     @F.pandas_udf(T.DoubleType())
-    def posterior(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        now = weights.value
-        for sort, features, sure in batches:
-            yield pd.Series([now.posterior(*x) for x in zip(sort, features, sure)], dtype="float64")
+    def posterior(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sorts, features in batches:
+            yield pd.Series(weights.value.posterior(sorts, features), dtype="float64")
 
-    residue = kinds.withColumn("score", posterior("sort", "features", "sure")).where("score > 0.5").select("sort", "sure", "unit", "score")
+    residue = kinds.withColumn("score", posterior("sort", "features")).where("score > 0.5").select("sort", "sure", "unit", "score")
     hits = spread_join(found.drop("features"), residue, ["sort", "sure", "unit"], F.xxhash64("_id"))
+    hits = hits.withColumn("sort", F.when(F.col("sort").isin("alone", "slot"), "placeholder").otherwise(F.col("sort")))
     best = F.max(F.struct("score", "sort")).alias("b")
     return hits.groupBy("_id").agg(best, F.count(F.lit(1)).alias("n_units")).select(F.col("_id").alias(id_col), "b.sort", "b.score", "n_units")
 

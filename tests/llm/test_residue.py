@@ -63,6 +63,48 @@ def test_found(spark):
     assert len(ids - truth) <= 0.03 * len(truth), [rows[i][1] for i in ids - truth][:3]
     assert {r.sort for r in found.values()} >= {"placeholder", "filler", "error", "script"}
     assert without_residue(docs, got).count() == len(rows) + 6 - len(found) - 1
+    assert max(r.score for r in found.values()) <= 1 and sum(r.score < 1 for r in found.values()) > 0.2 * len(found)
+
+
+def copies(rows, times):
+    return [(k * 1_000_000 + i, text, sort) for k in range(times) for i, text, sort in rows]
+
+
+def test_ten_times_the_corpus(spark):
+    """Shares do not depend on the size of the corpus, so neither does what is found."""
+    rows, _ = corpus()
+    rows = rows[:200]
+    found = [{r.doc_id for r in find_residue(spark.createDataFrame(x, "doc_id long, text string, sort string")).collect()} for x in (rows, copies(rows, 10))]
+    assert found[1] == {k * 1_000_000 + i for k in range(10) for i in found[0]}
+
+
+def test_model_finds_what_no_wording_names(spark, monkeypatch):
+    """With part of the trusted wordings withheld, the model finds such passages by their words, and a label alone decides
+    nothing."""
+    pages = ["Service unavailable, please try again later.", "The service is unavailable, please try again later.", "This service was unavailable. Please try later again."]
+    rows, _ = corpus()
+    rows = rows[:300] + [(5000 + i, pages[i % 2], "x") for i in range(40)] + [(6000 + i, pages[2], "x") for i in range(5)]
+    monkeypatch.setattr(R, "_TRUSTED", [("error", R.re.compile(r"^service unavailable,|^the service is unavailable", R.re.I))])
+    found = {r.doc_id: r for r in find_residue(spark.createDataFrame(rows, "doc_id long, text string, sort string")).collect()}
+    assert {6000, 6001, 6002, 6003, 6004} <= set(found) and found[6000].sort == "passage"
+
+
+def test_context_filter_is_exact():
+    seen = {"the value of the field": 2, "检查数量是否": 3}
+    every = np.full(R.LEAST_BITS // 8, 255, dtype=np.uint8)
+    none = np.zeros(R.LEAST_BITS // 8, dtype=np.uint8)
+    assert len(R._count_contexts(seen, none)[0]) == len(R._count_contexts({}, every)[0]) == 0
+    at, n = R._count_contexts(seen, every)
+    counts = dict(zip(at.tolist(), n.tolist()))
+    for text, left, times in (("the value of ", True, 2), ("检查数量", True, 3), (" the field", False, 2), ("数量是否", False, 3)):
+        assert counts[R._side(text, left)] == times
+
+
+def test_keyboard_mash_and_shapes():
+    for text in ("asdf asdf asdf", "foo bar baz foo bar"[:7], "test1 test2", "qwer;zxcv."):
+        assert R.trusted(text) == "filler"
+    shaped = ["{{a}}", "${x}", "#{x}", "<%= x %>", "{% if x %}", "[[x]]", "@@X@@", "__ABC__", "%ABC%", "{0}", "{name}", "【待填写】", "（此处填写版本号）", "[YOUR NAME]", "[name goes here]", "<<x>>", "<name>", "(tbd)", "(to be defined)", "TBD", "XXXX", "××××", "____", "undefined", "NaN", "[object Object]", "20XX年X月X日", "［待补充：甲］", "<请填写日期>", "<describe the rule>"]
+    assert all(R._shaped(f"a {x} b") for x in shaped), [x for x in shaped if not R._shaped(f"a {x} b")]
 
 
 def test_empty(spark):
@@ -72,6 +114,5 @@ def test_empty(spark):
 def test_what_is_not_looked_at():
     seen = [line for line, _ in R.lines("a “Please enable JavaScript” b\n```\n${x}\n```\n`{{y}}` GET /api/{z}/lines\n《title》")]
     assert not any(R._SHAPE.search(x) for x in seen) and seen[-1] == "title" and "JavaScript" not in seen[0]
-    table = np.zeros(R.CONTEXTS, dtype=np.int8)
-    assert [s for s, _, sure in R.units("Owner: {{owner}}", table) if sure] == ["placeholder"]
+    assert [x[:2] for x in R.slots("Owner: {{owner}}")] == [("edge", "edge")]
     assert R.trusted("aaaaaaaaaaaaaaaa") is None and R.trusted("-------------") is None and R.trusted("测试测试测试测试") == "filler"
