@@ -60,13 +60,14 @@ _SHAPE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in SHAPE
 HINT = r"[{\[<%@_×【［＜]|XX|\(t|TB[DCA]|undefined|NaN|此处填写"
 _HINT = re.compile(HINT)
 
-# Passages that are trusted to be filler, error messages, or notices about scripts, cookies and browsers.
+# Passages, in lower case, that are trusted to be filler, error messages, or notices about scripts, cookies
+# and browsers.
 TRUSTED = [
     ("filler", r"^(?:lorem ipsum|dolor sit amet)\b|lorem ipsum dolor|\b(?:text ){2,}text\b|^(?:sample|dummy|example|placeholder) text\.?$|^(?:text){3,}|^beispieltext|^texte d'exemple|^texto de ejemplo|(?:your|the) (?:content|text) goes here|^enter the (?:description|text)|^this is a dummy|^(?:(?:asdf(?:gh)?|qwer(?:ty)?|zxcv|jkl|xxx|foo|bar|blah|test\d*)[\s.,;]*){2,}$|请在此输入|^示例文字|^(?:这里是正文|标题文字|占位文字|文本文本)"),
-    ("error", r"^(?:http status |error |错误 ?|erreur |fehler )?[45]\d\d(?:[ :–-]+(?:[a-z]+ ){0,3}(?:bad request|unauthorized|forbidden|not found|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out))?\.?$|^http status [45]\d\d|^(?:access denied|permission denied|internal server error|bad gateway|service unavailable|error page)\.?$|(?:page|file|document) (?:you requested )?(?:could not be found|does not exist|was not found)|do not have permission to|session has (?:ended|expired)|could not connect to the database|down for maintenance|unexpected error \(type=|^traceback \(most recent call last|^(?:caused by: )?(?:[a-z_]\w*\.)+[A-Za-z]\w*(?:error|exception)\b|^\w+error: |^at (?:[\w$]+\.)+[\w$<>]+\(|the origin could not handle|^\{\"(?:code|status|error)\": ?[\"']?[45]|(?:页面|文件|文档)(?:不存在|不见了|已被删除)|您要找的页面|没有权限访问|登录(?:状态)?已(?:失效|过期)|系统繁忙|服务器(?:开小差|内部错误|繁忙)|^错误码[:：]|加载失败[:：]|访问过于频繁|se encuentra la página|page demandée est introuvable|seite (?:wurde )?nicht gefunden|ページが見つかりません|페이지를 찾을 수 없습니다|страница не найдена"),
+    ("error", r"^(?:http status |error |错误 ?|erreur |fehler )?[45]\d\d(?:[ :–-]+(?:[a-z]+ ){0,3}(?:bad request|unauthorized|forbidden|not found|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out))?\.?$|^http status [45]\d\d|^(?:access denied|permission denied|internal server error|bad gateway|service unavailable|error page)\.?$|(?:page|file|document) (?:you requested )?(?:could not be found|does not exist|was not found)|do not have permission to|session has (?:ended|expired)|could not connect to the database|down for maintenance|unexpected error \(type=|^traceback \(most recent call last|^(?:caused by: )?(?:[a-z_]\w*\.)+[a-z]\w*(?:error|exception)\b|^\w+error: |^at (?:[\w$]+\.)+[\w$<>]+\(|the origin could not handle|^\{\"(?:code|status|error)\": ?[\"']?[45]|(?:页面|文件|文档)(?:不存在|不见了|已被删除)|您要找的页面|没有权限访问|登录(?:状态)?已(?:失效|过期)|系统繁忙|服务器(?:开小差|内部错误|繁忙)|^错误码[:：]|加载失败[:：]|访问过于频繁|se encuentra la página|page demandée est introuvable|seite (?:wurde )?nicht gefunden|ページが見つかりません|페이지를 찾을 수 없습니다|страница не найдена"),
     ("script", r"(?:enable|activate|allow|requires?|needs?) (?:javascript|scripts|cookies)|javascript is (?:disabled|switched off|required|turned off)|browser is (?:outdated|not supported|too old)|checking your browser|scripts and cookies must|<noscript>|(?:启用|开启|打开) ?(?:javascript|脚本)|(?:未开启|未启用|不支持|禁用了?) ?(?:javascript|脚本)|需要 ?(?:启用脚本|javascript)|检查脚本是否被拦截|浏览器版本过低|正在检查您的浏览器|aktivieren sie javascript|activer javascript|active javascript|activez javascript|javascriptを有効|자바스크립트를 켜|включите javascript"),
 ]
-_TRUSTED = [(name, re.compile(pattern, re.I)) for name, pattern in TRUSTED]
+_TRUSTED = [(name, re.compile(pattern)) for name, pattern in TRUSTED]
 
 _FENCE = re.compile(r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]+`")
 _LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d\S*\s+(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b\s*(?:\[[^\]]*\]\s*)?")
@@ -74,7 +75,7 @@ _QUOTED = re.compile(r"“[^“”]{1,60}”|「[^「」]{1,60}」|『[^』]{1,6
 _PATH = re.compile(r"(?:https?:/)?(?:/[\w.{}%~:-]+){2,}(?:\?\S*)?|/[\w.-]+/\S*")
 _ITEM = re.compile(r"^\s*(?:[#>*•-]+\s+|\d+[.)]\s+|REQ-\d+[:：]\s*|《)+")
 _LABEL = re.compile(r"^([^\s:：{}<>\[\]]{1,16}(?: [^\s:：{}<>\[\]]{1,12})?)\s?[:：]\s*")
-_REPEAT = re.compile(r"(\S{1,8}?)\1{3,}")
+_REPEAT = re.compile(r"(\S{2,8}?)\1{3,}")
 _SENTENCE = re.compile(r"(?<=[。！？!?])|(?<=[.;])\s+")
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힣]+|[^\W\d_㐀-鿿぀-ヿ가-힣]+|\d+|[<>{}|]")
 _CJK = re.compile(r"[㐀-鿿぀-ヿ가-힣]")
@@ -185,8 +186,9 @@ def passages(line: str) -> list[str]:
 
 def trusted(passage: str) -> str | None:
     """The sort of residue that a passage is trusted to be, or None."""
+    lower = passage.lower()
     for sort, pattern in _TRUSTED:
-        if pattern.search(passage):
+        if pattern.search(lower):
             return sort
     repeat = _REPEAT.search(re.sub(r"\s", "", passage))
     if repeat and len(repeat[0]) >= 0.8 * len(re.sub(r"\s", "", passage)) and re.search(r"\w", repeat[1]) and len(set(repeat[1])) > 1:

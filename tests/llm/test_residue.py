@@ -84,7 +84,7 @@ def test_model_finds_what_no_wording_names(spark, monkeypatch):
     pages = ["Service unavailable, please try again later.", "The service is unavailable, please try again later.", "This service was unavailable. Please try later again."]
     rows, _ = corpus()
     rows = rows[:300] + [(5000 + i, pages[i % 2], "x") for i in range(40)] + [(6000 + i, pages[2], "x") for i in range(5)]
-    monkeypatch.setattr(R, "_TRUSTED", [("error", R.re.compile(r"^service unavailable,|^the service is unavailable", R.re.I))])
+    monkeypatch.setattr(R, "_TRUSTED", [("error", R.re.compile(r"^service unavailable,|^the service is unavailable"))])
     found = {r.doc_id: r for r in find_residue(spark.createDataFrame(rows, "doc_id long, text string, sort string")).collect()}
     assert {6000, 6001, 6002, 6003, 6004} <= set(found) and found[6000].sort == "passage"
 
