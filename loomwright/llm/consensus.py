@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.operators.skew import spread_join
@@ -13,6 +13,9 @@ from loomwright.session import cut
 #: Up to this many (class, annotator) rows of summed messages are broadcast to the edges; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Partitions that an item's edges spread over.
+SALTS = 4
+
 #: Pseudo-counts of right and wrong labels that every annotator starts with.
 RIGHT, WRONG = 2.0, 1.0
 
@@ -49,34 +52,36 @@ class Consensus:
     rounds: int
 
 
-def consensus(labels: DataFrame, classes: list[str], rest: str | None = None, tolerance: float = 1e-3, max_rounds: int = 40) -> Consensus:
+def consensus(labels: DataFrame, classes: list[str], rest: str | None = None, tolerance: float = 1e-3, max_rounds: int = 1000) -> Consensus:
     """Message passing on labels(item, annotator, label), each pair at most once, one class against the rest.
 
     Per class and edge, an item tells an annotator how probable it is that the item belongs to the class, from the
     messages of its other annotators only; an annotator tells an item the log-likelihood ratio of its label, from how it
     labelled its other items, as told by them: how often it says the class where it holds (sensitivity), and does not
-    where it does not (specificity). Rounds go on until no message changes by more than ``tolerance``. Annotators who
-    mislead get a negative weight, those who guess none. Leaving out the own edge keeps an annotator from confirming
+    where it does not (specificity). Rounds go on until no message changes by more than ``tolerance``, an error after
+    ``max_rounds``. Annotators who mislead get a negative weight, those who guess none. Leaving out the own edge keeps an annotator from confirming
     itself.
 
     With ``rest``, ``classes`` must be one class, and items that it does not win are labelled ``rest``; else the class
     with the highest belief wins, ties going to the first in ``classes``. Items without a vote do not appear. Work per
-    round: one pass over the edges, which stay partitioned by item; annotators' sums are aggregated before they move.
+    round: one pass over the edges; sums per annotator and per item are aggregated before they move, and meet the edges by
+    salted joins, so that no task holds all edges of an item or annotator.
     """
     one = F.explode(F.array(*map(F.lit, classes)))
     edges = labels.withColumn("class", one).select("class", "item", "annotator", (F.col("label") == F.col("class")).cast("double").alias("says"))
-    item = Window.partitionBy("class", "item")
     sign = 2 * F.col("says") - 1
-    start = F.sum(sign).over(item) - sign  # majority of the others
-    state = cut(edges.repartition("class", "item").withColumn("told", 1 / (1 + F.exp(-start))).withColumn("belief", 1 / (1 + F.exp(-(start + sign)))))
+    start = F.col("total") - sign  # majority of the others
+    state = cut(_with_totals(edges, sign).withColumn("told", 1 / (1 + F.exp(-start))).withColumn("belief", 1 / (1 + F.exp(-F.col("total")))).drop("total"))
     small = edges.select("class", "annotator").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rounds = 0
     while True:
         rounds += 1
-        state = cut(_round(state, item, small))
+        state = cut(_round(state, small))
         moved = state.agg(F.max(F.abs(F.col("told") - F.col("before")))).first()[0]
-        if moved is None or moved <= tolerance or rounds >= max_rounds:
+        if moved is None or moved <= tolerance:
             break
+        if rounds >= max_rounds:
+            raise RuntimeError(f"messages still change by {moved} after {max_rounds} rounds")
     per_item = state.groupBy("item", "class").agg(F.first("belief").alias("belief"), F.count(F.lit(1)).alias("votes"), F.sum("says").cast("long").alias("votes_for"))
     if rest is not None:
         wins = F.col("belief") > 0.5
@@ -103,7 +108,13 @@ def consensus(labels: DataFrame, classes: list[str], rest: str | None = None, to
     return Consensus(items, annotators, rounds)
 
 
-def _round(state: DataFrame, item, small: bool) -> DataFrame:
+def _with_totals(edges: DataFrame, weight: Column) -> DataFrame:
+    """Edges with the sum of the weights of all edges of their class and item."""
+    sums = edges.groupBy("class", "item").agg(F.sum(weight).alias("total"))
+    return spread_join(edges, sums, ["class", "item"], F.xxhash64("annotator"), SALTS)
+
+
+def _round(state: DataFrame, small: bool) -> DataFrame:
     says, told = F.col("says"), F.col("told")
     own = {"tp": told * says, "fn": told * (1 - says), "fp": (1 - told) * says, "tn": (1 - told) * (1 - says)}
     sums = state.groupBy("class", "annotator").agg(*[F.sum(c).alias(k) for k, c in own.items()])
@@ -115,10 +126,10 @@ def _round(state: DataFrame, item, small: bool) -> DataFrame:
     sens, spec = (tp + RIGHT) / (tp + fn + RIGHT + WRONG), (tn + RIGHT) / (tn + fp + RIGHT + WRONG)
     weight = F.when(says == 1, F.log(sens / (1 - spec))).otherwise(F.log((1 - sens) / spec))
     share = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("share")))
-    total = F.sum("weight").over(item) + F.log(share / (1 - share))
+    weighed = joined.withColumn("weight", weight).select("class", "item", "annotator", "says", "told", "share", "weight")
     return (
-        joined.withColumn("weight", weight)
-        .withColumn("total", total)
+        _with_totals(weighed, F.col("weight"))
+        .withColumn("total", F.col("total") + F.log(share / (1 - share)))
         .select("class", "item", "annotator", "says", F.col("told").alias("before"), (1 / (1 + F.exp(-(F.col("total") - F.col("weight"))))).alias("told"), (1 / (1 + F.exp(-F.col("total")))).alias("belief"))
     )
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from loomwright.llm.consensus import agreement, consensus, latest_labels, pair_labels
 
 
@@ -66,3 +68,18 @@ def test_many_annotators_take_the_shuffled_join(spark, monkeypatch):
     want = {r.item: r.label for r in consensus(labels, ["bad"], rest="ok").items.collect()}
     monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
     assert {r.item: r.label for r in consensus(labels, ["bad"], rest="ok").items.collect()} == want
+
+
+def test_settles_or_says_so(spark):
+    rows = [(f"i{i}", f"a{a}", "bad" if (i + a) % 3 else "good") for i in range(30) for a in range(4)]
+    labels = spark.createDataFrame(rows, "item string, annotator string, label string")
+    with pytest.raises(RuntimeError, match="still change"):
+        consensus(labels, ["bad"], rest="good", tolerance=0.0, max_rounds=1)
+
+
+def test_one_item_with_a_third_of_all_labels(spark):
+    """A hot item and an annotator who labelled nearly everything."""
+    rows = [("hot", f"a{a}", "bad" if a % 5 else "good") for a in range(300)] + [(f"i{i}", "busy", "bad" if i % 2 else "good") for i in range(300)]
+    rows += [(f"i{i}", f"a{i}", "bad" if i % 2 else "good") for i in range(300)]
+    got = {r.item: r.label for r in consensus(spark.createDataFrame(rows, "item string, annotator string, label string"), ["bad"], rest="good").items.collect()}
+    assert got["hot"] == "bad" and all(got[f"i{i}"] == ("bad" if i % 2 else "good") for i in range(300))
