@@ -78,9 +78,10 @@ def calibrated(x: Column, kind: str, center: float = 0.5, width: float = 0.1, lo
 
 
 def numeric_penalty(a: Column, b: Column) -> Column:
-    """0.45 of the relative distance of the smallest numbers of both sides; 0 where one has none."""
-    x, y = F.array_min(a).cast("double"), F.array_min(b).cast("double")
-    return F.when(x.isNull() | y.isNull() | (F.greatest(x, y) == 0), 0.0).otherwise(0.45 * (1 - F.least(x, y) / F.greatest(x, y)))
+    """0.45 of the relative distance of the smallest positive numbers of both sides; 0 where one has none."""
+    least = lambda c: F.array_min(F.filter(c, lambda v: v > 0)).cast("double")
+    x, y = least(a), least(b)
+    return F.when(x.isNull() | y.isNull(), 0.0).otherwise(0.45 * (1 - F.least(x, y) / F.greatest(x, y)))
 
 
 def coverage_penalty(wanted: Column, there: Column) -> Column:
@@ -89,6 +90,46 @@ def coverage_penalty(wanted: Column, there: Column) -> Column:
     return F.when(F.size(wanted) == 0, 0.0).when(share >= 0.66, 0.0).when(share >= 0.33, 0.2).otherwise(0.4)
 
 
+def state_penalty(wanted: Column, there: Column) -> Column:
+    """0.45 where the code has less than half of the wanted states."""
+    share = F.size(F.array_intersect(wanted, there)) / F.size(F.array_distinct(wanted))
+    return F.when((F.size(wanted) == 0) | (share >= 0.5), 0.0).otherwise(0.45)
+
+
+# Risks from which rules decide between two verdicts, and overturn two that agree; similarity from which a
+# single verdict of inconsistency does not count.
+ARBITER_RISK, VETO_RISK, SIMILARITY_GATE = 0.30, 0.45, 0.70
+
+
+def merged_verdict(a: Column, b: Column, rule_risk: Column, bound_risk: Column) -> Column:
+    """(consistent, path) of two verdicts, each true for consistent or null for none.
+
+    Two that agree hold, two that differ are settled by the rules' risk; then a bound that the code misses overturns a
+    verdict of consistency. One verdict alone stands. Without any both are null.
+    """
+    detected = F.when(a == b, ~a).otherwise(rule_risk >= ARBITER_RISK)
+    path = F.when(a == b, F.when(a, "LLM_CONSENSUS_CONSISTENT").otherwise("LLM_CONSENSUS_DEFECT")).otherwise(F.when(detected, "LLM_ARBITRATION_DEFECT").otherwise("LLM_ARBITRATION_KEEP"))
+    veto = ~detected & (bound_risk >= VETO_RISK)
+    both = a.isNotNull() & b.isNotNull()
+    one = F.coalesce(a, b)
+    return F.struct(
+        F.when(both, ~(detected | veto)).otherwise(one).alias("consistent"),
+        F.when(both, F.when(veto, "RULE_QUANTIFY_VETO").otherwise(path)).when(one.isNotNull(), "LLM_SINGLE").alias("path"),
+    )
+
+
+def gated_verdict(consistent: Column, total: Column) -> Column:
+    """(consistent, path) of a single verdict: inconsistency does not count from a similarity of SIMILARITY_GATE on."""
+    gate = ~consistent & (total >= SIMILARITY_GATE)
+    return F.struct((consistent | gate).alias("consistent"), F.when(gate, "LLM_SIM_GATE").when(consistent.isNotNull(), "LLM_SINGLE").alias("path"))
+
+
+def written_back(consistent: Column, path: Column, total: Column, t2: Column, status: Column) -> Column:
+    """(status, path) that a verdict writes back; without one the rules' status stays."""
+    after = F.when(consistent.isNull(), status).when(consistent, "consistent").when(total < t2, "serious_inconsistent").otherwise("general_inconsistent")
+    return F.struct(after.alias("status"), F.when(consistent.isNull(), "RULE_FALLBACK").otherwise(F.coalesce(path, F.lit("LLM"))).alias("path"))
+
+
 def health(coverage: Column, defects: Column, status_score: Column) -> Column:
     """0..100 from coverage (0..1, null where never analysed), number of defects and a status score."""
     clean = F.greatest(F.lit(0.0), 100.0 - 8.0 * defects)

@@ -12,7 +12,10 @@ OPTIONAL_WORDS = ["可以", "可选", "may", "optional"]
 NON_FUNCTIONAL_WORDS = ["性能", "响应时间", "并发", "安全", "可用性", "毫秒", "performance", "latency", "within", "security"]
 CONSTRAINT_WORDS = ["约束", "限制", "不得", "不超过", "at most", "no more than", "lie between", "constraint"]
 AMBIGUOUS_WORDS = ["适当", "尽快", "合理", "若干", "大约", "可能", "含糊", "建议", "some", "several", "quickly", "approximately", "reasonable", "as usual"]
-STATE_NAMES = ["DRAFT", "QUEUED", "APPROVED", "LOCKED", "SHIPPED", "CLOSED", "REVOKED", "ON_HOLD"]
+STATE_NAMES = ["PENDING", "PAID", "SHIPPED", "UNPUBLISHED", "PUBLISHED", "ACTIVE", "INACTIVE", "SUCCESS", "FAILED", "COMPLETED", "CANCELLED"]
+STATE_WORDS = {"未发布": "UNPUBLISHED", "已发布": "PUBLISHED", "待支付": "PENDING", "已支付": "PAID", "已发货": "SHIPPED", "已完成": "COMPLETED", "已取消": "CANCELLED", "待处理": "PENDING"}
+UNITS = ["秒", "分钟", "min", "second", "条", "次", "字符", "个字", "分"]
+BOUND_WORDS = ["最多", "不低于", "至少", "不超过", "上限", "窗口"]
 BEHAVIOUR_WORDS = ["应", "必须", "需要", "可以", "不得", "shall", "must", "should", "may"]
 STOP_WORDS = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "into", "then", "than", "not"]
 
@@ -72,19 +75,26 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([0-9]{1,4})(?![A-Za-z0-9_])"), F.lit(1)), lambda x: x.cast("int"))
 
 
+#: A number of up to six digits with a unit, or soon after a word for a bound.
+BOUND = rf"(?i)[0-9]{{1,6}}\s*(?:{'|'.join(UNITS)})|(?:{'|'.join(BOUND_WORDS)})[^0-9]{{0,6}}[0-9]{{1,6}}"
+
+
 def quantified_bounds(text: Column) -> Column:
-    """Numbers with a unit after them."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+) ?(?:毫秒|分钟|秒|天|次|条|字|位|元|ms|minutes|seconds|days|times|rows|characters)"), F.lit(1)), lambda x: x.cast("long"))
+    """Numbers with a unit, or soon after a word for a bound, in their order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(BOUND), F.lit(0)), lambda m: F.regexp_extract(m, "([0-9]{1,6})", 1).cast("int"))
 
 
-def states(text: Column) -> Column:
-    """Names of states that the text contains, in the order of the list."""
-    return F.filter(F.array(*map(F.lit, STATE_NAMES)), lambda s: F.contains(text, s))
+def states(text: Column, names: list[str] = STATE_NAMES, words: dict[str, str] = STATE_WORDS) -> Column:
+    """Names of states that the text contains without regard to case, in the order of the list; then those for which it
+    has a word."""
+    named = F.filter(F.array(*map(F.lit, names)), lambda s: F.contains(F.lower(text), F.lower(s)))
+    meant = F.filter(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(s)) for w, s in words.items()]), lambda s: s.isNotNull())
+    return F.array_distinct(F.concat(named, meant))
 
 
-def transitions(text: Column) -> Column:
+def transitions(text: Column, names: list[str] = STATE_NAMES) -> Column:
     """State changes written with an arrow. In a chain A -> B -> C -> D every second arrow is taken."""
-    name = "|".join(STATE_NAMES)
+    name = "|".join(names)
     found = F.regexp_extract_all(text, F.lit(rf"({name}) *(?:->|→) *({name})"), F.lit(0))
     return F.transform(found, lambda x: F.regexp_replace(x, " *(->|→) *", ">"))
 
@@ -145,7 +155,7 @@ CONSTRAINT_KINDS = {
     "range": r"[0-9]+到[0-9]+|between [0-9]+ and [0-9]+",
     "count": r"[0-9]+次|[0-9]+ times",
     "time": r"[0-9]+(毫秒|秒|分钟|天)|[0-9]+ (ms|seconds|minutes|days)",
-    "state": "|".join(STATE_NAMES),
+    "state": "[A-Z]{4,}(?:_[A-Z]+)?",
     "reason": r"原因|reason",
     "lock": r"锁定|locked",
     "unique": r"重复|same number",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_hash(c: Column) -> Column:
@@ -38,6 +43,33 @@ def chain_text(previous: Column, fields: list[str]) -> Column:
     return F.concat_ws("|", previous, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
 
 
+def append_chain(log: DataFrame, group: str, order: list[str], fields: list[str], hash_col: str, genesis: str = "GENESIS") -> DataFrame:
+    """The log with the hash of each entry, which covers the hash before it: the chain of each group, in order.
+
+    Hashes of one chain follow from each other, so a chain is written by one task; it streams through it, batch by batch,
+    and nothing but the last hash is kept. Chains spread over tasks.
+    """
+    columns = log.columns
+    text = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    schema = T.StructType([*log.schema.fields, T.StructField(hash_col, T.StringType())])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, genesis
+        for b in batches:
+            hashes = []
+            for g, part in zip(b["_group"], b["_text"]):
+                if g != at:
+                    at, last = g, genesis
+                last = hashlib.sha256(f"{last}|{part}".encode()).hexdigest()
+                hashes.append(last)
+            out = b[columns].copy()
+            out[hash_col] = pd.Series(hashes, index=out.index, dtype=object)
+            yield out
+
+    keyed = log.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit(""))).withColumn("_text", text)
+    return keyed.repartition("_group").sortWithinPartitions("_group", *order).mapInPandas(chain, schema)
+
+
 def verify_chain(log: DataFrame, group: str, order: list[str], fields: list[str], hash_col: str, genesis: str = "GENESIS") -> DataFrame:
     """(group, total, first_broken): how many entries a chain has and the index, from 0, of the first whose hash does not
     follow from the stored previous one, null for a sound chain. An entry without a hash is broken.
@@ -56,10 +88,25 @@ def missing_chunks(parts: DataFrame, key: str, index: str, total: str) -> DataFr
     return wanted.join(parts.select(key, F.col(index).cast("int").alias("missing")), [key, "missing"], "left_anti")
 
 
-def status_merge(local: DataFrame, remote: DataFrame, key: str, moves: list[tuple[str, str]]) -> DataFrame:
+# States of a defect, and which may follow each.
+DEFECT_MOVES = {
+    "pending": ["processing", "ignored", "falsePositive"],
+    "processing": ["resolved", "ignored", "pending", "falsePositive"],
+    "resolved": ["processing"],
+    "ignored": ["processing"],
+    "falsePositive": ["processing", "pending"],
+}
+
+
+def may_follow(before: Column, after: Column, moves: dict[str, list[str]] = DEFECT_MOVES) -> Column:
+    """Whether a status may follow another; never if one of them is null or unknown."""
+    return F.coalesce(F.concat(before, F.lit(">"), after).isin([f"{a}>{b}" for a, bs in moves.items() for b in bs]), F.lit(False))
+
+
+def status_merge(local: DataFrame, remote: DataFrame, key: str, moves: dict[str, list[str]] = DEFECT_MOVES) -> DataFrame:
     """(key, action): changed where the remote status differs and the move is allowed, skipped where it is not, unchanged."""
     both = local.select(key, F.col("status").alias("_from")).join(remote.select(key, F.col("status").alias("_to")), key)
-    allowed = F.concat_ws(">", "_from", "_to").isin([f"{a}>{b}" for a, b in moves])
+    allowed = may_follow(F.col("_from"), F.col("_to"), moves)
     return both.select(key, F.when(F.col("_from").eqNullSafe(F.col("_to")), "unchanged").when(allowed, "changed").otherwise("skipped").alias("action"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as T
 from loomwright.session import read_table
 
 
@@ -41,6 +42,27 @@ def r6(c: Column, name: str) -> Column:
     return F.round(c.cast("double"), 6).alias(name)
 
 
+#: Names of states in the texts of the project tables, beside the default ones; a parameter of the state functions.
+STATES = [*T.STATE_NAMES, "DRAFT", "QUEUED", "APPROVED", "LOCKED", "CLOSED", "REVOKED", "ON_HOLD"]
+
+
+def states(text: Column) -> Column:
+    return T.states(text, STATES)
+
+
+def states_sql(text: str) -> str:
+    """T.states in SQL."""
+    words = list(T.STATE_WORDS.items())
+    earlier = lambda i: "".join(f" AND NOT contains({text}, '{w}')" for w, s in words[:i] if s == words[i][1])
+    meant = ", ".join(f"CASE WHEN contains({text}, '{w}'){earlier(i)} AND NOT contains(lower({text}), '{s.lower()}') THEN '{s}' END" for i, (w, s) in enumerate(words))
+    return f"list_concat(list_filter([{', '.join(repr(s) for s in STATES)}], lambda s: contains(lower({text}), lower(s))), list_filter([{meant}], lambda s: s IS NOT NULL))"
+
+
+def bounds_sql(text: str) -> str:
+    """T.quantified_bounds in SQL."""
+    return f"list_transform(regexp_extract_all({text}, '{T.BOUND}'), lambda m: regexp_extract(m, '([0-9]{{1,6}})', 1)::INT)"
+
+
 WITH = """
 WITH projects AS (
   SELECT * FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.operators import changes as C
-from loomwright.plans.base import cases
+from loomwright.plans.base import WITH, cases, projects
 from loomwright.session import read_table
 
 QUERIES, ORACLE = {}, {}
@@ -77,27 +77,40 @@ def i5_j16_field_changes(spark, sf):
 
 
 # a log with chained hashes: each user's events, every 97th of them altered
-_CHAIN_FIELDS = ["event_id", "event_type", "user_id"]
-_CHAIN_SQL = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), p AS (SELECT *, 'h' || coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)::VARCHAR, '') AS link FROM e)
-SELECT user_id, count(*) AS total, min(CASE WHEN event_id % 97 = 0 THEN i END) AS first_broken FROM p GROUP BY 1"""
+_CHAIN_FIELDS = ["user_id", "event_type", "value", "props", "ts"]
+_PARTS = "coalesce(user_id::VARCHAR, '') || '|' || coalesce(event_type, '') || '|' || coalesce({value}::VARCHAR, '') || '|' || coalesce(props, '') || '|' || coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '')"
+_CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {_PARTS.format(value='value')} AS parts FROM events),
+h AS (SELECT user_id, i, sha256('GENESIS|' || parts) AS hash FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, sha256(h.hash || '|' || e.parts) FROM h JOIN e ON e.user_id = h.user_id AND e.i = h.i + 1)"""
 
 
-@query(_CHAIN_SQL)
-def x1_x3_w7_chain(spark, sf):
-    """Entries whose stored link does not name the entry before; the hashed form is tested on chains that tests build."""
-    from pyspark.sql import Window
+def _log(spark, sf):
+    """The events of a user as a log whose entries are chained by their hashes."""
+    events = read_table(spark, sf, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return events
+
+
+def _chained(spark, sf):
+    log = _log(spark, sf).withColumn("second", F.left("ts", F.lit(19)))
+    fields = [*_CHAIN_FIELDS[:-1], "second"]
+    return C.append_chain(log, "user_id", ["ts", "event_id"], fields, "hash"), fields
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    log = read_table(spark, sf, "events").withColumn("link", F.concat(F.lit("h"), F.coalesce(F.lag("event_id").over(w).cast("string"), F.lit(""))))
-    stored = log.withColumn("link", F.when(F.col("event_id") % 97 == 0, "altered").otherwise(F.col("link")))
-    fine = F.col("link") == F.concat(F.lit("h"), F.coalesce(F.lag("event_id").over(w).cast("string"), F.lit("")))
-    checked = stored.withColumn("i", F.row_number().over(w) - 1).withColumn("fine", fine)
-    return checked.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.min(F.when(~F.col("fine"), F.col("i"))).cast("long").alias("first_broken"))
 
+@query(_CHAIN_SQL + " SELECT event_id, hash FROM h JOIN e USING (user_id, i)")
+def x1_x2_chain_hashes(spark, sf):
+    return _chained(spark, sf)[0].select("event_id", "hash")
 
-@query("SELECT event_id, sha256('GENESIS|' || coalesce(event_id::VARCHAR, '') || '|' || coalesce(event_type, '') || '|' || coalesce(user_id::VARCHAR, '')) AS hash FROM events")
-def x1_chain_hashes(spark, sf):
-    return read_table(spark, sf, "events").select("event_id", F.sha2(C.chain_text(F.lit("GENESIS"), _CHAIN_FIELDS), 256).alias("hash"))
+
+@query(
+    _CHAIN_SQL
+    + f""", w AS (SELECT e.*, h.hash, lag(h.hash) OVER (PARTITION BY user_id ORDER BY i) AS prev, CASE WHEN event_type = 'error' AND value > 15 THEN 15.0 ELSE value END AS now FROM e JOIN h USING (user_id, i)),
+c AS (SELECT *, hash = sha256(coalesce(prev, 'GENESIS') || '|' || {_PARTS.format(value='now')}) AS fine FROM w)
+SELECT user_id, count(*) AS total, min(CASE WHEN NOT fine THEN i - 1 END) AS first_broken FROM c GROUP BY 1"""
+)
+def x1_x3_w7_chain(spark, sf):
+    """Chains in which the values of errors were lowered to 15 after the entries had been chained."""
+    log, fields = _chained(spark, sf)
+    lowered = F.when((F.col("event_type") == "error") & (F.col("value") > 15), 15.0).otherwise(F.col("value"))
+    return C.verify_chain(log.withColumn("value", lowered), "user_id", ["ts", "event_id"], fields, "hash")
 
 
 @query(
@@ -109,18 +122,24 @@ def x4_dataset_checks(spark, sf):
     return C.dataset_checks(cases(spark, sf), "case_id", {"severity": ["high", "medium", "low"], "requirement_type": ["functional", "data"]})
 
 
-_MOVES = [("pending", "processing"), ("completed", "failed"), ("created", "completed"), ("failed", "completed"), ("paused", "completed"), ("interrupted", "completed")]
+# how the status of a task, and that of its project, stand for states of a defect
+_TASK = {"pending": "pending", "running": "processing", "completed": "resolved", "failed": "ignored", "terminated": "ignored", "interrupted": "pending", "paused": "falsePositive"}
+_PROJECT = {"created": "pending", "analyzing": "processing", "completed": "resolved", "failed": "falsePositive"}
+_named = lambda c, names: f"CASE lower(trim({c})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
 @query(
-    "WITH l AS (SELECT id, max(lower(trim(status))) AS s FROM tg_analysis_task GROUP BY 1), r AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'completed' ELSE s END AS s FROM l) SELECT l.id, CASE WHEN l.s IS NOT DISTINCT FROM r.s THEN 'unchanged' WHEN l.s || '>' || r.s IN ("
-    + ", ".join(f"'{a}>{b}'" for a, b in _MOVES)
+    WITH
+    + f", l AS (SELECT id, max(project_id) AS project_id, max({_named('status', _TASK)}) AS s FROM tg_analysis_task GROUP BY 1), r AS (SELECT l.id, {_named('p.status', _PROJECT)} AS s FROM l JOIN projects p ON p.id = l.project_id) SELECT l.id, CASE WHEN l.s IS NOT DISTINCT FROM r.s THEN 'unchanged' WHEN l.s || '>' || r.s IN ("
+    + ", ".join(f"'{a}>{b}'" for a, bs in C.DEFECT_MOVES.items() for b in bs)
     + ") THEN 'changed' ELSE 'skipped' END AS action FROM l JOIN r USING (id)"
 )
 def x5_f13_status_merge(spark, sf):
-    local = read_table(spark, sf, "tg_analysis_task").groupBy("id").agg(F.max(F.lower(F.trim("status"))).alias("status"))
-    remote = local.select("id", F.when(F.col("id") % 3 == 0, "completed").otherwise(F.col("status")).alias("status"))
-    return C.status_merge(local, remote, "id", _MOVES)
+    named = lambda c, names: F.coalesce(*[F.when(F.lower(F.trim(c)) == k, v) for k, v in names.items()])
+    local = read_table(spark, sf, "tg_analysis_task").groupBy("id").agg(F.max("project_id").alias("project_id"), F.max(named("status", _TASK)).alias("status"))
+    current = projects(spark, sf).select(F.col("id").alias("project_id"), named("status", _PROJECT).alias("status"))
+    remote = local.select("id", "project_id").join(current, "project_id").select("id", "status")
+    return C.status_merge(local, remote, "id")
 
 
 @query("SELECT DISTINCT p.repo, p.file_name FROM parse_failure p WHERE p.create_time < TIMESTAMP '2026-06-01' - INTERVAL 30 DAY AND NOT EXISTS (SELECT 1 FROM source_file f WHERE f.repo = p.repo AND f.file_name = p.file_name)")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.functions import scoring as S
+from loomwright.functions import signals as G
 from loomwright.functions import text as T
 from loomwright.operators import sweeps as W
 from loomwright.operators.matching import greedy_matches, unmatched
 from loomwright.operators.blocks import against_all
 from loomwright.operators.ranking import numbered, top_n, top_per
-from loomwright.plans.base import WITH, cases, r6, tasks
+from loomwright.plans.base import WITH, cases, r6, states, states_sql, tasks
 from loomwright.session import read_table
 
 QUERIES, ORACLE = {}, {}
@@ -73,17 +74,14 @@ def m11_m15_status(spark, sf):
 
 
 @query(
-    rf"""WITH n AS (SELECT case_id, list_transform(regexp_extract_all(original_text, '(?:^|[^A-Za-z0-9_])([0-9]{{1,4}})(?:天|次|条)', 1), lambda x: x::INT) AS a, list_transform(regexp_extract_all(code_content, '(?:==|<=|<|>) ([0-9]{{1,4}})', 1), lambda x: x::INT) AS b, list_filter([{", ".join(repr(s) for s in T.STATE_NAMES)}], lambda s: contains(original_text, s)) AS sa,
- list_filter([{", ".join(repr(s) for s in T.STATE_NAMES)}], lambda s: contains(code_content, s)) AS sb FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)
-SELECT case_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 OR greatest(list_min(a), list_min(b)) = 0 THEN 0 ELSE 0.45 * (1 - least(list_min(a), list_min(b))::DOUBLE / greatest(list_min(a), list_min(b))) END, 6) AS numeric,
- CASE WHEN len(sa) = 0 THEN 0 WHEN len(list_intersect(sa, sb))::DOUBLE / len(sa) >= 0.66 THEN 0 WHEN len(list_intersect(sa, sb))::DOUBLE / len(sa) >= 0.33 THEN 0.2 ELSE 0.4 END::DOUBLE AS states FROM n"""
+    rf"""WITH n AS (SELECT case_id, list_filter(list_transform(regexp_extract_all(original_text, '\b([0-9]{{1,4}})\b', 1), lambda x: x::INT), lambda x: x > 0) AS a, list_filter(list_transform(regexp_extract_all(code_content, '\b([0-9]{{1,4}})\b', 1), lambda x: x::INT), lambda x: x > 0) AS b, {states_sql('original_text')} AS sa, {states_sql('code_content')} AS sb FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)
+SELECT case_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 0.45 * (1 - least(list_min(a), list_min(b))::DOUBLE / greatest(list_min(a), list_min(b))) END, 6) AS numeric,
+ CASE WHEN len(sa) = 0 OR len(list_intersect(sa, sb))::DOUBLE / len(sa) >= 0.5 THEN 0 ELSE 0.45 END::DOUBLE AS states FROM n"""
 )
 def m4_m5_penalties(spark, sf):
     text, code = F.col("original_text"), F.col("code_content")
-    ints = lambda c, pattern: F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
-    a, b = ints(text, r"(?:^|[^A-Za-z0-9_])([0-9]{1,4})(?:天|次|条)"), ints(code, r"(?:==|<=|<|>) ([0-9]{1,4})")
     rows = cases(spark, sf).where(text.isNotNull() & code.isNotNull())
-    return rows.select("case_id", r6(S.numeric_penalty(a, b), "numeric"), S.coverage_penalty(T.states(text), T.states(code)).alias("states"))
+    return rows.select("case_id", r6(S.numeric_penalty(T.numbers(text), T.numbers(code)), "numeric"), S.state_penalty(states(text), states(code)).alias("states"))
 
 
 _EXPECT = {"loop": (r"每|批量|each|every|for all", r"\bfor\b|\bwhile\b"), "branch": (r"若|如果|超过|if|above", r"\bif\b|\bswitch\b"), "failure": (r"失败|错误|拒绝|fail|refuse", r"catch|except|err|warn"), "steps": (r"先|然后|再|then|before", r"\bif\b[\s\S]*\bif\b")}
@@ -108,15 +106,15 @@ def m7_structure(spark, sf):
     return cases(spark, sf).where("original_text is not null and code_content is not null").select("case_id", r6(F.when(n == 0, 0.5).otherwise(sum(hits, F.lit(0.0)) / n), "invariant"))
 
 
-_BUGS = {"assign_in_if": (r"if *\([^()=<>!]*[^=<>!]=[^=][^()]*\)", 0.45), "empty_catch": (r"catch *\([^()]*\) *\{\s*\}", 0.35), "endless": (r"while *\( *true *\)", 0.35), "shift": (r"<<|>>", 0.25), "literal_loop": (r"for *\(int \w+ = 0; \w+ <= ", 0.30), "null_string": (r"== *\"", 0.40)}
+_BUGS = {k: (w, f"regexp_matches(code_content, '(?i){'|'.join(p)}')") for k, (w, p) in G.CODE_BUGS.items()} | {"one_sided_compare": (G.ONE_SIDED[0], f"(regexp_matches(code_content, '(?i){G.ONE_SIDED[1]}') AND regexp_matches(lower(code_content), '{G.ONE_SIDED[2]}'))")}
 
 
-@query("SELECT case_id, round(least(0.8, (" + " + ".join(f"CASE WHEN regexp_matches(code_content, '{p}') THEN {w} ELSE 0 END" for p, w in _BUGS.values()) + ")::DOUBLE), 6) AS risk, " + "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(code_content, '{p}') THEN '{k}' END" for k, (p, _) in _BUGS.items()) + "], lambda e: e IS NOT NULL), ',') AS found FROM defect_detection_case WHERE code_content IS NOT NULL")
+@query("SELECT case_id, round(least(0.8, (" + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for w, c in _BUGS.values()) + ")::DOUBLE), 6) AS risk, " + "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, (_, c) in _BUGS.items()) + "], lambda e: e IS NOT NULL), ',') AS found FROM defect_detection_case WHERE code_content IS NOT NULL")
 def r5_m16_code_bugs(spark, sf):
     code = F.col("code_content")
-    each = [F.when(code.rlike(p), w).otherwise(0.0) for p, w in _BUGS.values()]
-    names = F.filter(F.array(*[F.when(code.rlike(p), k) for k, (p, _) in _BUGS.items()]), lambda x: x.isNotNull())
-    return cases(spark, sf).where(code.isNotNull()).select("case_id", r6(F.least(F.lit(0.8), sum(each, F.lit(0.0))), "risk"), F.array_join(names, ",").alias("found"))
+    each = G.code_bugs(code)
+    names = F.filter(F.array(*[F.when(c > 0, k) for k, c in each.items()]), lambda x: x.isNotNull())
+    return cases(spark, sf).where(code.isNotNull()).select("case_id", r6(F.least(F.lit(0.8), sum(each.values(), F.lit(0.0))), "risk"), F.array_join(names, ",").alias("found"))
 
 
 def _pairs(spark, sf):
@@ -186,15 +184,51 @@ def m26_ablation(spark, sf):
     return W.graded_grid(scored(spark, sf), ~F.col("false_positive"), x < 0.75, [{"v": i} for i in range(3)]).withColumn("v", F.col("v").cast("long"))
 
 
+_VERDICTS = """v AS (SELECT pair_id, lower(trim(annotator)) AS who, bool_and(consistent) AS ok FROM second_annotation GROUP BY 1, 2),
+k AS (SELECT p.pair_id, avg(CASE WHEN lower(trim(d.verdict)) = 'defective' THEN 1.0 WHEN lower(trim(d.verdict)) = 'consistent' THEN 0.0 END) AS risk, max(d.end_time - d.start_time) AS spent FROM consistency_pair p JOIN participant_verdict d ON p.project = d.project AND p.req_id = d.req_id AND p.file = d.file AND p.method_name = d.method_name GROUP BY 1),
+r AS (SELECT pair_id, coalesce(risk, 0) AS risk, CASE WHEN risk = 1 THEN 0.45 ELSE 0 END AS bound, 0.4 + 0.6 * (1 - coalesce(risk, 0)) AS total FROM k)"""
+
+
+def _verdicts(spark, sf):
+    """Verdicts of second annotators (null where they gave none), and risks and similarity that the participants' share of
+    defective verdicts stands for."""
+    v = read_table(spark, sf, "second_annotation").groupBy("pair_id", F.lower(F.trim("annotator")).alias("who")).agg(F.bool_and("consistent").alias("ok"))
+    said = F.lower(F.trim("verdict"))
+    share = F.avg(F.when(said == "defective", 1.0).when(said == "consistent", 0.0)).alias("risk")
+    k = read_table(spark, sf, "consistency_pair").join(read_table(spark, sf, "participant_verdict"), ["project", "req_id", "file", "method_name"]).groupBy("pair_id").agg(share)
+    risk = F.coalesce("risk", F.lit(0.0))
+    return v, k.select("pair_id", risk.alias("risk"), F.when(F.col("risk") == 1, 0.45).otherwise(0.0).alias("bound"), (0.4 + 0.6 * (1 - risk)).alias("total"))
+
+
 @query(
-    """WITH a AS (SELECT pair_id, bool_or(NOT consistent) AS bad FROM second_annotation WHERE annotator = 'reviewer-B' AND consistent IS NOT NULL GROUP BY 1), b AS (SELECT pair_id, bool_or(NOT consistent) AS bad FROM second_annotation WHERE annotator = 'llm:quillfern-s:dual' AND consistent IS NOT NULL GROUP BY 1)
-SELECT pair_id, CASE WHEN a.bad = b.bad THEN 'consensus' WHEN a.bad THEN 'arbitration' ELSE 'veto' END AS path, a.bad OR (b.bad AND pair_id LIKE '%0') AS bad FROM a JOIN b USING (pair_id)"""
+    f"""WITH {_VERDICTS}, m AS (SELECT a.pair_id, a.who AS first, b.who AS second, a.ok AS x, b.ok AS y, risk, bound, total FROM v a JOIN v b ON a.pair_id = b.pair_id AND a.who < b.who JOIN r ON r.pair_id = a.pair_id),
+d AS (SELECT *, CASE WHEN x = y THEN NOT x ELSE risk >= 0.30 END AS bad, x IS NOT NULL AND y IS NOT NULL AS two FROM m),
+p AS (SELECT *, CASE WHEN two THEN NOT (bad OR bound >= 0.45) ELSE coalesce(x, y) END AS ok, CASE WHEN two THEN CASE WHEN NOT bad AND bound >= 0.45 THEN 'RULE_QUANTIFY_VETO' WHEN x = y THEN CASE WHEN x THEN 'LLM_CONSENSUS_CONSISTENT' ELSE 'LLM_CONSENSUS_DEFECT' END WHEN bad THEN 'LLM_ARBITRATION_DEFECT' ELSE 'LLM_ARBITRATION_KEEP' END WHEN coalesce(x, y) IS NOT NULL THEN 'LLM_SINGLE' END AS path FROM d)
+SELECT pair_id, first, second, CASE WHEN ok IS NULL THEN 'general_inconsistent' WHEN ok THEN 'consistent' WHEN total < 0.5 THEN 'serious_inconsistent' ELSE 'general_inconsistent' END AS status, CASE WHEN ok IS NULL THEN 'RULE_FALLBACK' ELSE path END AS path FROM p"""
 )
 def m18_m20_judge_merge(spark, sf):
-    votes = lambda who, name: read_table(spark, sf, "second_annotation").where((F.col("annotator") == who) & F.col("consistent").isNotNull()).groupBy("pair_id").agg(F.bool_or(~F.col("consistent")).alias(name))
-    both = votes("reviewer-B", "a").join(votes("llm:quillfern-s:dual", "b"), "pair_id")
-    path = F.when(F.col("a") == F.col("b"), "consensus").when(F.col("a"), "arbitration").otherwise("veto")
-    return both.select("pair_id", path.alias("path"), (F.col("a") | (F.col("b") & F.col("pair_id").endswith("0"))).alias("bad"))
+    """All pairs of second annotators of an item: the ladder, and what it writes back."""
+    v, r = _verdicts(spark, sf)
+    a, b = v.select("pair_id", F.col("who").alias("first"), F.col("ok").alias("x")), v.select("pair_id", F.col("who").alias("second"), F.col("ok").alias("y"))
+    both = a.join(b, "pair_id").where("first < second").join(r, "pair_id").withColumn("m", S.merged_verdict(F.col("x"), F.col("y"), F.col("risk"), F.col("bound")))
+    back = S.written_back(F.col("m.consistent"), F.col("m.path"), F.col("total"), F.lit(0.5), F.lit("general_inconsistent"))
+    return both.select("pair_id", "first", "second", back.alias("b")).select("pair_id", "first", "second", "b.status", "b.path")
+
+
+@query(f"WITH {_VERDICTS} SELECT pair_id, who, ok OR (NOT ok AND total >= 0.70) AS consistent, CASE WHEN NOT ok AND total >= 0.70 THEN 'LLM_SIM_GATE' WHEN ok IS NOT NULL THEN 'LLM_SINGLE' END AS path FROM v JOIN r USING (pair_id)")
+def m19_similarity_gate(spark, sf):
+    v, r = _verdicts(spark, sf)
+    return v.join(r, "pair_id").select("pair_id", "who", S.gated_verdict(F.col("ok"), F.col("total")).alias("g")).select("pair_id", "who", "g.consistent", "g.path")
+
+
+_DETAIL = "'{\"pairRisk\":' || round(risk, 4)::VARCHAR || ',\"detail\":\"' || coalesce(who, '') || '\"' || CASE WHEN ok IS NULL THEN '' ELSE ',\"variantA\":' || ok::VARCHAR END || '}'"
+
+
+@query(f"WITH {_VERDICTS} SELECT pair_id, who, {_DETAIL} AS detail FROM v JOIN r USING (pair_id) WHERE risk > 0.001 AND risk < 1")
+def t26_judge_details(spark, sf):
+    v, r = _verdicts(spark, sf)
+    detail = F.to_json(F.struct(F.round("risk", 4).alias("pairRisk"), F.coalesce("who", F.lit("")).alias("detail"), F.col("ok").alias("variantA")))
+    return v.join(r, "pair_id").where("risk > 0.001 and risk < 1").select("pair_id", "who", detail.alias("detail"))
 
 
 @query(WITH + "SELECT id, abs(weight_alpha + weight_beta + weight_gamma - 1) <= 0.01 AND least(weight_alpha, weight_beta, weight_gamma) >= 0 AND greatest(weight_alpha, weight_beta, weight_gamma) <= 1 AND threshold_t1 > threshold_t2 AS valid FROM tasks WHERE weight_alpha IS NOT NULL AND weight_beta IS NOT NULL AND weight_gamma IS NOT NULL")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.functions import signals as G
-from loomwright.functions import text as T
-from loomwright.plans.base import WITH, cases, r6, requirements
+from loomwright.plans.base import WITH, bounds_sql, cases, r6, requirements, states, states_sql
 from loomwright.session import read_table
 
 QUERIES, ORACLE = {}, {}
@@ -22,26 +21,32 @@ def query(sql: str | None = None):
     return add
 
 
-_STATES = ", ".join(repr(s) for s in T.STATE_NAMES)
-_BASE = f"""b AS (SELECT case_id, original_text AS t, code_content AS c, list_filter([{_STATES}], lambda s: contains(original_text, s)) AS ts, list_filter([{_STATES}], lambda s: contains(code_content, s)) AS cs,
- list_distinct(list_transform(regexp_extract_all(original_text, '([0-9]{{1,4}})'), lambda x: x::INT)) AS tn, list_distinct(list_transform(regexp_extract_all(code_content, '(?:==|<=|<|>|>=) ([0-9]{{1,4}})', 1), lambda x: x::INT)) AS cn FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)"""
+_BARE = r"regexp_replace(regexp_replace({c}, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g')"
+_BASE = f"""b AS (SELECT case_id, original_text AS t, code_content AS c, {states_sql('original_text')} AS ts, {states_sql('code_content')} AS cs,
+ list_distinct(list_transform(regexp_extract_all(original_text, '([0-9]{{1,4}})'), lambda x: x::INT)) AS tn FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)"""
+_NUMBERS = r"list_filter(list_transform(regexp_extract_all({x}, '\b([0-9]{{1,4}})\b', 1), lambda x: x::INT), lambda x: x > 0)"
+_WANTED = _NUMBERS.format(x=r"regexp_replace(t, '[0-9]+\.[0-9]+', ' ', 'g')")
+_PLAIN = r"regexp_replace(regexp_replace({bare}, '[0-9]+\.[0-9]+', ' ', 'g'), '[+\-]\s*1\b', ' ', 'g')".format(bare=_BARE.format(c="c"))
+_THERE = f"list_filter({_NUMBERS.format(x=_PLAIN)}, lambda x: x NOT IN ({', '.join(map(str, G.CONVERSIONS))}))"
+_PARAMETERS = ", ".join("CASE WHEN regexp_matches(lower(t), '" + "|".join(w.lower() for w in words) + f"') THEN '{p}' END" for p, words in G.PARAMETERS.items())
+_VALIDATED = ", ".join(f"CASE WHEN regexp_matches({_BARE.format(c='c')}, '{G.validation_pattern(p)}') THEN '{p}' END" for p in G.PARAMETERS)
 
 
 def _rows(spark, sf):
-    ints = lambda c, pattern: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: x.cast("int")))
     t, c = F.col("original_text"), F.col("code_content")
-    return cases(spark, sf).where(t.isNotNull() & c.isNotNull()).select("case_id", t.alias("t"), c.alias("c"), ints(t, "([0-9]{1,4})").alias("tn"), ints(c, "(?:==|<=|<|>|>=) ([0-9]{1,4})").alias("cn"))
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("int")))
+    return cases(spark, sf).where(t.isNotNull() & c.isNotNull()).select("case_id", t.alias("t"), c.alias("c"), numbers.alias("tn"))
 
 
 @query(
-    f"""WITH {_BASE}, n AS (SELECT *, list_filter(tn, lambda x: x > 1) AS w FROM b), m AS (SELECT *, len(list_filter(w, lambda x: list_contains(cn, x))) AS eq, len(list_filter(w, lambda x: NOT list_contains(cn, x) AND len(list_filter(cn, lambda y: y > 1 AND least(x, y) * 10 >= greatest(x, y))) > 0)) AS near FROM n)
+    f"""WITH {_BASE}, n AS (SELECT *, {_WANTED} AS w, {_THERE} AS h, list_filter([{_PARAMETERS}], lambda p: p IS NOT NULL) AS ps, list_filter([{_VALIDATED}], lambda p: p IS NOT NULL) AS vs, {_BARE.format(c='c')} AS bare FROM b),
+m AS (SELECT *, len(list_filter(w, lambda x: list_contains(h, x))) AS eq, len(list_filter(w, lambda x: NOT list_contains(h, x) AND len(list_filter(h, lambda y: least(x, y) * 10 >= greatest(x, y))) > 0)) AS near, len(list_intersect(ps, vs))::DOUBLE / len(ps) AS share FROM n)
 SELECT case_id, CASE WHEN len(ts) = 0 THEN 0 WHEN len(list_intersect(ts, cs)) = 0 THEN 0.55 WHEN len(list_intersect(ts, cs)) < len(ts) THEN 0.25 ELSE 0 END::DOUBLE AS state, round((CASE WHEN eq + near = 0 THEN 0 ELSE 0.45 * near / (eq + near) END)::DOUBLE, 6) AS numeric,
- CASE WHEN len(ts) = 0 THEN 0 WHEN len(list_intersect(ts, cs))::DOUBLE / len(ts) >= 0.75 THEN 0 WHEN len(list_intersect(ts, cs))::DOUBLE / len(ts) >= 0.5 THEN 0.2 WHEN len(list_intersect(ts, cs))::DOUBLE / len(ts) >= 0.25 THEN 0.4 ELSE 0.6 END::DOUBLE AS coverage FROM m"""
+ CASE WHEN NOT regexp_matches(t, '{G.CHECK_WORDS}') OR len(ps) = 0 OR regexp_matches(bare, '{G.DELEGATES}') OR share >= 0.75 THEN 0 WHEN share >= 0.5 THEN 0.2 WHEN share >= 0.25 THEN 0.4 ELSE 0.6 END::DOUBLE AS validation FROM m"""
 )
-def r1_r3_signals(spark, sf):
+def r1_r3_t15_signals(spark, sf):
     t, c = F.col("t"), F.col("c")
-    share = F.try_divide(F.size(F.array_intersect(T.states(t), T.states(c))), F.size(T.states(t)))
-    return _rows(spark, sf).select("case_id", G.state_mismatch(t, c).alias("state"), r6(G.numeric_mismatch(F.col("tn"), F.col("cn")), "numeric"), F.when(F.size(T.states(t)) == 0, 0.0).otherwise(G.coverage_band(share)).alias("coverage"))
+    return _rows(spark, sf).select("case_id", G.state_mismatch(states(t), states(c)).alias("state"), r6(G.numeric_mismatch(t, c), "numeric"), G.missing_validation(t, c).alias("validation"))
 
 
 @query(f"WITH {_BASE} SELECT case_id, CASE WHEN regexp_matches(t, '{G.LEAST_WORDS}') AND len(list_filter(tn, lambda n: regexp_matches(c, '(< *' || n || '\\b)|(\\b' || n || ' *<[^=<])'))) > 0 THEN 0.35 ELSE 0 END::DOUBLE AS inversion FROM b")
@@ -49,9 +54,26 @@ def r4_logic_inversion(spark, sf):
     return _rows(spark, sf).select("case_id", G.logic_inversion(F.col("t"), F.col("c"), F.col("tn")).alias("inversion"))
 
 
-@query(WITH + f"SELECT id, array_to_string(list_transform(list_sort(list_filter(list_transform([{_STATES}], lambda s: {{'p': strpos(original_text, s), 's': s}}), lambda x: x.p > 0)), lambda x: x.s), '>') AS flow FROM requirements WHERE original_text IS NOT NULL")
+_ORDER = "list_transform(list_sort(list_transform({s}, lambda s, i: {{'at': CASE WHEN contains(upper({t}), s) THEN strpos(upper({t}), s) ELSE 1073741824 END, 'i': i, 's': s}})), lambda x: x.s)"
+
+
+@query(WITH + f", s AS (SELECT id, original_text AS t, {states_sql('original_text')} AS s FROM requirements WHERE original_text IS NOT NULL) SELECT id, array_to_string({_ORDER.format(s='s', t='t')}, '>') AS flow FROM s")
 def r8_state_order(spark, sf):
-    return requirements(spark, sf).where("original_text is not null").select("id", F.array_join(G.state_order(F.col("original_text")), ">").alias("flow"))
+    t = F.col("original_text")
+    return requirements(spark, sf).where(t.isNotNull()).select("id", F.array_join(G.state_order(t, states(t)), ">").alias("flow"))
+
+
+_MOVES = "list_transform(regexp_extract_all(c, '" + G.MOVE + "'), lambda m: {'a': list_position(o, regexp_extract(m, '" + G.MOVE + "', 1)), 'b': list_position(o, regexp_extract(m, '" + G.MOVE + "', 2))})"
+
+
+@query(
+    f"WITH {_BASE}, o AS (SELECT *, {_ORDER.format(s='ts', t='t')} AS o FROM b), m AS (SELECT *, {_MOVES} AS m FROM o) "
+    + f"SELECT case_id, CASE WHEN regexp_matches(t, '{'|'.join(G.ORDER_WORDS)}') AND len(ts) >= 3 AND len(list_filter(m, lambda x: x.a > 0 AND x.b > 0 AND x.b <> x.a + 1)) > 0 THEN 0.4 ELSE 0 END::DOUBLE AS violation FROM m"
+)
+def r8_state_flow(spark, sf):
+    """No code of the test tables moves between named constants, so all are 0 there; unit tests have cases with violations."""
+    t, c = F.col("t"), F.col("c")
+    return _rows(spark, sf).select("case_id", G.state_flow_violation(t, c, states(t)).alias("violation"))
 
 
 _WINDOWS = ", ".join(f"CASE WHEN contains(original_text, '{w}') THEN substr(original_text, greatest(1, strpos(original_text, '{w}') - 10), 30) END" for w in G.CONSTRAINT_WORDS)
@@ -67,9 +89,12 @@ def t24_propositions(spark, sf):
     return requirements(spark, sf).select("id", F.array_join(G.propositions(F.col("constraint_rules")), " & ").alias("propositions"))
 
 
-@query("SELECT case_id, round((len(list_filter(['qty', 'limit', 'return'], lambda w: contains(code_content, w)))::DOUBLE / 3), 6) AS satisfied FROM defect_detection_case WHERE code_content IS NOT NULL")
+@query(WITH + """, p AS (SELECT id, list_distinct(list_filter(list_transform(string_split(coalesce(constraint_rules, '') || ';' || coalesce(invariants, ''), ';'), lambda x: trim(x)), lambda x: x <> '')) AS ps, coalesce(atomic_constraints, '') AS c FROM requirements)
+SELECT id, round(CASE WHEN len(ps) = 0 THEN -1 ELSE len(list_filter(ps, lambda p: contains(c, regexp_extract(p, '^([A-Za-z]*)', 1))))::DOUBLE / len(ps) END, 6) AS satisfied FROM p""")
 def m9_satisfied(spark, sf):
-    return cases(spark, sf).where("code_content is not null").select("case_id", r6(G.satisfied(G.propositions(F.lit("qty > 0; limit < 5;return x")), F.col("code_content")), "satisfied"))
+    """The propositions of a requirement's own rules and invariants, looked up in its atomic constraints."""
+    parts = G.propositions(F.col("constraint_rules"), F.col("invariants"))
+    return requirements(spark, sf).select("id", r6(G.satisfied(parts, F.coalesce("atomic_constraints", F.lit(""))), "satisfied"))
 
 
 @query(r"""WITH l AS (SELECT case_id, list_transform(string_split_regex(code_content, '\r\n|\r|\n'), lambda x: trim(x, ' ')) AS ls FROM defect_detection_case WHERE code_content IS NOT NULL)
@@ -95,13 +120,20 @@ def a20_key_coverage(spark, sf):
     return read_table(spark, sf, "documents").where("text is not null").select("doc_id", r6(G.key_coverage(F.col("text"), ["version", "版本", "author", "编写人", "REQ-001"]), "covered"))
 
 
+_NAMED = r"""list_transform(list_filter(string_split_regex(c, '\r\n|\r|\n'), lambda x: contains(lower(x), 'static') AND contains(lower(x), 'final') AND regexp_matches(x, '\w+\s*=\s*-?[0-9]+')), lambda x: {'n': regexp_extract(x, '(\w+)\s*=\s*-?[0-9]+', 1), 'v': try_cast(regexp_extract(x, '\w+\s*=\s*(-?[0-9]+)', 1) AS BIGINT)})"""
+_USED = r"list_filter(list_transform(regexp_extract_all(c, '[<>]=?\s*([0-9]{1,6})\b', 1), lambda x: x::INT), lambda x: x > 0)"
+
+
 @query(
-    """WITH b AS (SELECT case_id, list_distinct(list_transform(regexp_extract_all(original_text, '([0-9]+) ?(?:毫秒|分钟|秒|天|次|条|字|位|元|ms|minutes|seconds|days|times|rows|characters)', 1), lambda x: x::BIGINT)) AS w, list_transform(regexp_extract_all(code_content, '(?:==|<=|<|>|>=) ([0-9]{1,4})', 1), lambda x: x::BIGINT) AS c FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL)
-SELECT case_id, round(least(0.45, 0.15 * len(list_filter(w, lambda b: NOT list_contains(c, b) AND len(list_filter(c, lambda x: x > 0 AND b > 0 AND greatest(b, x) <= 5 * least(b, x))) > 0)))::DOUBLE, 6) AS bound FROM b"""
+    f"""WITH b AS (SELECT case_id, code_content AS c, list_filter({bounds_sql('original_text')}, lambda x: x > 0) AS w FROM defect_detection_case WHERE original_text IS NOT NULL AND code_content IS NOT NULL), u AS (SELECT *, {_USED} AS used, {_NAMED} AS named FROM b)
+"""
+    + r"""SELECT case_id, CASE WHEN len(list_filter(named, lambda k: k.v IS NOT NULL AND regexp_matches(c, '(^|[^\w''])' || k.n || '\s*[<>]=?|[<>]=?\s*' || k.n || '\b') AND len(list_filter(w, lambda x: x <> k.v AND greatest(x, k.v) <= 5 * least(x, k.v))) > 0)) > 0
+ OR len(list_filter(w, lambda x: NOT regexp_matches(c, '(^|[^0-9])' || x || '([^0-9]|$)') AND len(list_filter(used, lambda v: x <> v AND greatest(x, v) <= 5 * least(x, v))) > 0)) > 0 THEN 0.45 ELSE 0 END::DOUBLE AS bound FROM u"""
 )
 def r10_bound_mismatch(spark, sf):
-    c = F.transform(F.regexp_extract_all("code_content", F.lit("(?:==|<=|<|>|>=) ([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("long"))
-    return cases(spark, sf).where("original_text is not null and code_content is not null").select("case_id", r6(G.bound_mismatch(T.quantified_bounds(F.col("original_text")), c), "bound"))
+    c = F.col("code_content")
+    lines = F.split(c, r"\r\n|\r|\n")
+    return cases(spark, sf).where("original_text is not null and code_content is not null").select("case_id", G.bound_mismatch(F.col("original_text"), c, lines).alias("bound"))
 
 
 @query("SELECT case_id, round(CASE WHEN original_text IS NULL OR trim(original_text) = '' OR code_content IS NULL OR trim(code_content) = '' OR quality_precision IS NULL OR quality_precision < 0.3 THEN CASE WHEN quality_recall >= 0 THEN 0.35 + 0.65 * quality_recall ELSE 0.5 END ELSE greatest(0, least(1, quality_precision)) END, 6) AS constraint_score FROM defect_detection_case")

@@ -8,7 +8,7 @@ from loomwright.functions import text as T
 from loomwright.operators import documents as D
 from loomwright.operators.ranking import top_per
 from loomwright.operators.terms import inverse_document_frequency, sparse_cosine, term_frequencies
-from loomwright.plans.base import WITH, cases, requirements
+from loomwright.plans.base import WITH, bounds_sql, cases, requirements, states, states_sql
 from loomwright.session import read_table
 
 QUERIES, ORACLE = {}, {}
@@ -122,13 +122,13 @@ def m2_w1_nearest_cases(spark, sf):
 @query(
     WITH
     + rf"""SELECT id, array_to_string(list_transform(regexp_extract_all(original_text, '(?:^|[^A-Za-z0-9_])([0-9]{{1,4}})(?:毫秒|分钟|秒|天|次|条|字|位|元)', 1), lambda x: x), ',') AS near_units,
- array_to_string(regexp_extract_all(original_text, '([0-9]+) ?(?:毫秒|分钟|秒|天|次|条|字|位|元|ms|minutes|seconds|days|times|rows|characters)', 1), ',') AS bounds,
- array_to_string(list_filter([{", ".join(repr(s) for s in T.STATE_NAMES)}], lambda s: contains(original_text, s)), ',') AS states FROM requirements WHERE original_text IS NOT NULL"""
+ array_to_string({bounds_sql('original_text')}, ',') AS bounds,
+ array_to_string({states_sql('original_text')}, ',') AS states FROM requirements WHERE original_text IS NOT NULL"""
 )
 def t12_t14_numbers_and_states(spark, sf):
     t = F.col("original_text")
     near = F.regexp_extract_all(t, F.lit(r"(?:^|[^A-Za-z0-9_])([0-9]{1,4})(?:毫秒|分钟|秒|天|次|条|字|位|元)"), F.lit(1))
-    return requirements(spark, sf).where(t.isNotNull()).select("id", F.array_join(near, ",").alias("near_units"), F.array_join(T.quantified_bounds(t).cast("array<string>"), ",").alias("bounds"), F.array_join(T.states(t), ",").alias("states"))
+    return requirements(spark, sf).where(t.isNotNull()).select("id", F.array_join(near, ",").alias("near_units"), F.array_join(T.quantified_bounds(t).cast("array<string>"), ",").alias("bounds"), F.array_join(states(t), ",").alias("states"))
 
 
 @query(

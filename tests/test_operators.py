@@ -130,3 +130,48 @@ def test_spread_join_is_the_plain_join(spark):
     for how in ("inner", "left"):
         plain = sorted(map(str, left.join(right, "k", how).collect()))
         assert sorted(map(str, spread_join(left, right, ["k"], F.col("i"), 4, how).collect())) == plain
+
+
+def test_append_chain_is_what_verify_chain_follows(spark):
+    rows = [("a", i, f"v{i}" if i % 2 else None) for i in range(50)] + [("b", i, "x") for i in range(3)] + [(None, 1, "y")]
+    log = spark.createDataFrame(rows, "g string, i long, v string").repartition(3)
+    chained = C.append_chain(log, "g", ["i"], ["i", "v"], "h")
+    text, by = "GENESIS", {(r.g, r.i): r.h for r in chained.collect()}
+    for i in range(50):
+        text = hashlib.sha256(f"{text}|{i}|{f'v{i}' if i % 2 else ''}".encode()).hexdigest()
+        assert by["a", i] == text
+    assert {tuple(r) for r in C.verify_chain(chained, "g", ["i"], ["i", "v"], "h").collect()} == {("a", 50, None), ("b", 3, None), (None, 1, None)}
+    broken = chained.withColumn("v", F.when((F.col("g") == "a") & (F.col("i") == 9), "z").otherwise(F.col("v")))
+    assert {tuple(r) for r in C.verify_chain(broken, "g", ["i"], ["i", "v"], "h").collect()} == {("a", 50, 9), ("b", 3, None), (None, 1, None)}
+    assert C.append_chain(log.limit(0), "g", ["i"], ["i", "v"], "h").count() == 0
+
+
+def test_status_moves(spark):
+    allowed = {(a, b) for a, bs in C.DEFECT_MOVES.items() for b in bs}
+    assert len(allowed) == 11
+    names = [*C.DEFECT_MOVES, "other", None]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    assert {(r.a, r.b) for r in df.where(C.may_follow(F.col("a"), F.col("b"))).collect()} == allowed
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from loomwright.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://x:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomwright.functions import scoring as S
 from loomwright.functions import signals as G
 from loomwright.functions import text as T
 from loomwright.operators.documents import clean_documents, numbered_segments, document_lines
@@ -34,15 +35,120 @@ def test_null_dereference(spark):
     assert [r.x for r in df.orderBy("i").select(G.null_dereference(F.col("c")).alias("x")).collect()] == [0.35, 0.0, 0.0, 0.0]
 
 
-def test_signals(spark):
-    df = spark.createDataFrame([("至少 5 次，状态 DRAFT 和 LOCKED", "if (n < 5) return DRAFT;")], "t string, c string")
-    r = df.select(G.state_mismatch(F.col("t"), F.col("c")).alias("s"), G.logic_inversion(F.col("t"), F.col("c"), T.numbers(F.col("t"))).alias("i"), F.array_join(G.state_order(F.col("t")), ">").alias("o")).first()
-    assert (r.s, r.i, r.o) == (0.25, 0.35, "DRAFT>LOCKED")
+def values(spark, column, rows):
+    """The column over rows of (text, code)."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, t string, c string")
+    return [r.x for r in df.withColumn("x", column).orderBy("i").collect()]
+
+
+def test_states(spark):
+    assert values(spark, F.array_join(T.states(F.col("t")), ","), [("订单 pending 后已支付，再已发货", ""), ("待支付或待处理", ""), ("无", "")]) == ["PENDING,PAID,SHIPPED", "PENDING", ""]
+    assert values(spark, F.array_join(T.states(F.col("t"), ["DRAFT", "LOCKED"], {}), ","), [("draft 与 LOCKED", "")]) == ["DRAFT,LOCKED"]
+    got = values(spark, G.state_mismatch(T.states(F.col("t")), T.states(F.col("c"))), [("PAID 和 SHIPPED", "PAID"), ("PAID", "x"), ("PAID", "PAID"), ("x", "PAID")])
+    assert got == [0.25, 0.55, 0.0, 0.0]
+
+
+def test_numeric_mismatch(spark):
+    rows = [
+        ("最多 500 个字符", "if (s.length() > 1000)"),  # 1000 is a conversion, so nothing compares
+        ("最多 500 个字符", "if (s.length() > 900)"),
+        ("最多 500 个字符", "if (s.length() > 500 && n > 400)"),
+        ("60 秒内最多 10 条", "limit = 10; window = 30;"),
+        ("重试 3 次", "i = i + 1; // 3"),
+        ("重试 1 次", "maxRetry = 1;"),
+        ("费率 0.5，共 7 次", "x * 0.5; n > 8"),
+        ("5 次", "n > 900"),
+        ("3 与 3 与 4", "a = 3; b = 5;"),
+        ("没有", "n > 5"),
+    ]
+    got = [round(x, 6) for x in values(spark, G.numeric_mismatch(F.col("t"), F.col("c")), rows)]
+    assert got == [0.0, 0.45, 0.0, 0.225, 0.0, 0.0, 0.45, 0.0, 0.15, 0.0]
+
+
+def test_missing_validation(spark):
+    rows = [
+        ("必须校验用户id和数量", "f(x);"),
+        ("必须校验用户id和数量", "if (userId == null) return;"),
+        ("必须校验用户id和数量", "if (userId == null || quantity <= 0) return;"),
+        ("必须校验用户id和数量", "validateAll(req);"),
+        ("必须校验用户id和数量", "// userId == null\nf(x);"),
+        ("按数量查询", "f(x);"),
+        ("必须校验", "f(x);"),
+    ]
+    assert values(spark, G.missing_validation(F.col("t"), F.col("c")), rows) == [0.6, 0.2, 0.0, 0.0, 0.6, 0.0, 0.0]
+
+
+def test_state_flow(spark):
+    move = 'if (STATUS_{}.equals(o.getStatus())) {{ o.setStatus(Order.STATUS_{}); }}'
+    text = "订单状态依次为 PENDING、PAID、SHIPPED、COMPLETED 流转"
+    rows = [(text, move.format("PAID", "COMPLETED")), (text, move.format("PAID", "SHIPPED")), (text, move.format("PAID", "OTHER")), ("PENDING、PAID、SHIPPED", move.format("PENDING", "SHIPPED")), (text, "x")]
+    assert values(spark, G.state_flow_violation(F.col("t"), F.col("c"), T.states(F.col("t"))), rows) == [0.4, 0.0, 0.0, 0.0, 0.0]
+    assert values(spark, F.array_join(G.state_order(F.col("t"), T.states(F.col("t"))), ">"), [("已支付，先 COMPLETED 后 PENDING", "")]) == ["COMPLETED>PENDING>PAID"]
+
+
+def test_bounds(spark):
+    bounds = F.array_join(T.quantified_bounds(F.col("t")).cast("array<string>"), ",")
+    assert values(spark, bounds, [("60 秒内最多10条，不超过约500，第 7 章", ""), ("1234567秒", ""), ("", "")]) == ["60,10,500", "234567", ""]
+    literal = [
+        ("不超过500字符", "if (s.length() > 1000) {"),
+        ("不超过500字符", "if (s.length() > 500) {"),
+        ("不超过500字符", "int m = 500; if (s.length() > 1000) {"),
+        ("不超过500字符", "if (s.length() > 9000) {"),
+        ("不超过500字符", "s.length() == 1000"),
+        ("没有", "n > 3"),
+    ]
+    assert values(spark, G.bound_mismatch(F.col("t"), F.col("c")), literal) == [0.45, 0.0, 0.0, 0.0, 0.0, 0.0]
+    lines = F.split(F.col("c"), "\n")
+    named = [
+        ("60秒内有效", "static final int WINDOW = 30;\nif (age > WINDOW) {"),
+        ("60秒内有效", "static final int WINDOW = 60;\nif (age > WINDOW) {"),
+        ("60秒内有效", "static final int WINDOW = 30;\nuse(WINDOW)"),
+        ("60秒内有效", "int WINDOW = 30;\nif (age > WINDOW) {"),
+        ("60秒内有效", "static final int WINDOW = -30;\nif (age > WINDOW) {"),
+        ("60秒内有效", "static final int WINDOW = 99999999999;\nif (age > WINDOW) {"),
+    ]
+    assert values(spark, G.bound_mismatch(F.col("t"), F.col("c"), lines), named) == [0.45, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_code_bugs(spark):
+    each = G.code_bugs(F.col("c"))
+    rows = [("", x) for x in ("list.get(list.size())", "catch (E e) { }", "double a == b", "{ return true; }", "x / 0", "class C implements Comparator { x(); return 1; }", "return 1;", "x / 05")]
+    got = values(spark, F.array_join(F.filter(F.array(*[F.when(c > 0, F.lit(k)) for k, c in each.items()]), lambda x: x.isNotNull()), ","), rows)
+    assert got == ["get_size", "empty_catch", "float_equality", "constant_return", "division_by_zero", "one_sided_compare", "", ""]
+
+
+def test_penalties(spark):
+    numeric = F.round(S.numeric_penalty(T.numbers(F.col("t")), T.numbers(F.col("c"))), 6)
+    assert values(spark, numeric, [("10 或 60", "20"), ("10", "10"), ("10", ""), ("0 与 10", "5")]) == [0.225, 0.0, 0.0, 0.225]
+    assert values(spark, S.state_penalty(T.states(F.col("t")), T.states(F.col("c"))), [("PAID SHIPPED", "PAID"), ("PAID SHIPPED COMPLETED", "PAID"), ("x", "")]) == [0.0, 0.45, 0.0]
+
+
+def test_verdicts(spark):
+    rows = [
+        (True, True, 0.9, 0.0, True, "LLM_CONSENSUS_CONSISTENT"),
+        (False, False, 0.0, 0.9, False, "LLM_CONSENSUS_DEFECT"),
+        (True, False, 0.3, 0.0, False, "LLM_ARBITRATION_DEFECT"),
+        (True, False, 0.29, 0.0, True, "LLM_ARBITRATION_KEEP"),
+        (True, False, 0.29, 0.45, False, "RULE_QUANTIFY_VETO"),
+        (True, True, 0.0, 0.45, False, "RULE_QUANTIFY_VETO"),
+        (True, True, 0.0, 0.44, True, "LLM_CONSENSUS_CONSISTENT"),
+        (None, False, 0.0, 0.9, False, "LLM_SINGLE"),
+        (None, None, 0.9, 0.9, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a boolean, b boolean, r double, q double, ok boolean, path string")
+    for row in df.withColumn("m", S.merged_verdict(F.col("a"), F.col("b"), F.col("r"), F.col("q"))).collect():
+        assert (row.m.consistent, row.m.path) == (row.ok, row.path), row
+    gate = [(False, 0.7, True, "LLM_SIM_GATE"), (False, 0.69, False, "LLM_SINGLE"), (True, 0.1, True, "LLM_SINGLE")]
+    df = spark.createDataFrame(gate, "a boolean, t double, ok boolean, path string")
+    assert all((r.g.consistent, r.g.path) == (r.ok, r.path) for r in df.withColumn("g", S.gated_verdict(F.col("a"), F.col("t"))).collect())
+    back = [(True, "p", 0.1, "consistent", "p"), (False, "p", 0.49, "serious_inconsistent", "p"), (False, None, 0.5, "general_inconsistent", "LLM"), (None, None, 0.1, "rules", "RULE_FALLBACK")]
+    df = spark.createDataFrame(back, "a boolean, p string, t double, s string, q string")
+    assert all((r.b.status, r.b.path) == (r.s, r.q) for r in df.withColumn("b", S.written_back(F.col("a"), F.col("p"), F.col("t"), F.lit(0.5), F.lit("rules"))).collect())
 
 
 def test_transitions_take_every_second_arrow(spark):
     df = spark.createDataFrame([("DRAFT -> QUEUED -> SHIPPED -> CLOSED",), ("x",)], "t string")
-    assert [r.x for r in df.select(F.array_join(T.transitions(F.col("t")), ",").alias("x")).collect()] == ["DRAFT>QUEUED,SHIPPED>CLOSED", ""]
+    assert [r.x for r in df.select(F.array_join(T.transitions(F.col("t"), ["DRAFT", "QUEUED", "SHIPPED", "CLOSED"]), ",").alias("x")).collect()] == ["DRAFT>QUEUED,SHIPPED>CLOSED", ""]
 
 
 def test_documents(spark):
