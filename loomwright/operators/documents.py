@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.session import spread
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -13,21 +14,30 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, r"\r\n|\r|\n")).alias("pos", "line"))
 
 
-def cleaned_lines(lines: DataFrame, id_col: str = "doc_id", repeats: int = 3, short: int = 24) -> DataFrame:
-    """Clean lines without noise, blank lines, and running heads: lines of at most ``short`` characters that occur
-    ``repeats`` times or more in their document and are no content."""
-    trimmed = lines.withColumn("raw", F.trim("line"))
-    counts = trimmed.groupBy(id_col, "raw").agg(F.count(F.lit(1)).alias("times"))
-    joined = trimmed.join(counts, [id_col, "raw"]).withColumn("clean", T.clean_line(F.col("line")))
-    head = (F.col("times") >= repeats) & (F.length("clean") <= short) & ~T.looks_like_content(F.col("clean"))
-    return joined.where(~T.is_noise_line(F.col("clean")) & ~head & (F.col("clean") != "")).select(id_col, "pos", F.col("clean").alias("line"))
+def cleaned_lines(text: Column, repeats: int = 3, short: int = 24) -> Column:
+    """The clean lines of a text without noise, blank lines, and running heads: lines of at most ``short`` characters that
+    occur ``repeats`` times or more in it and are no content. All of it stays within the row."""
+    raw = F.split(text, r"\r\n|\r|\n")
+    # equal lines stand together once sorted: a line that equals the one (repeats - 1) places before occurs so often
+    before = lambda lines, i: F.element_at(lines, F.greatest(F.lit(1), i + 2 - repeats))
+    often = lambda lines: F.array_distinct(F.filter(lines, lambda x, i: (i >= repeats - 1) & (x == before(lines, i))))
+    pairs = F.transform(raw, lambda x: F.struct(F.trim(x).alias("raw"), T.clean_line(x).alias("clean")))
+    head = lambda x, heads: (F.length(x["clean"]) <= short) & F.array_contains(heads, x["raw"]) & ~T.looks_like_content(x["clean"])
+    kept = lambda heads: F.transform(F.filter(pairs, lambda x: (x["clean"] != "") & ~T.is_noise_line(x["clean"]) & ~head(x, heads)), lambda x: x["clean"])
+    return _let(_let(F.array_sort(F.transform(raw, lambda x: F.trim(x))), often), kept)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once per row, also where it is used inside another lambda."""
+    return F.transform(F.array(value), then)[0]
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_lines, text): the clean lines of each document, joined again."""
-    lines = cleaned_lines(document_lines(docs, id_col, text_col), id_col)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_lines"), joined.alias("text"))
+    """(id_col, n_lines, text): the clean lines of each document, joined again, within the row: only an input of fewer splits than tasks is
+    shuffled at all. Null texts, and texts
+    without a clean line, give no row."""
+    lines = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)).select(id_col, cleaned_lines(F.col(text_col)).alias("_lines"))
+    return lines.where(F.size("_lines") > 0).select(id_col, F.size("_lines").cast("long").alias("n_lines"), F.array_join("_lines", "\n").alias("text"))
 
 
 def numbered_segments(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -41,9 +41,10 @@ _CONTENT = f"(regexp_matches(c, '{T.NUMBERING}') OR regexp_matches(lower(c), '{_
 
 @query(f"WITH l AS ({_LINES}), c AS (SELECT doc_id, pos, {_clean('line')} AS c FROM l) SELECT doc_id, count(*) AS lines, sum({_NOISE}::INT)::BIGINT AS noise, sum({_CONTENT}::INT)::BIGINT AS content, md5(string_agg(c, chr(10) ORDER BY pos)) AS clean FROM c GROUP BY 1")
 def t1_t3_lines(spark, sf):
-    lines = D.document_lines(read_table(spark, sf, "documents")).withColumn("c", T.clean_line(F.col("line")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "\n")
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(T.is_noise_line(F.col("c")).cast("int")).alias("noise"), F.sum(T.looks_like_content(F.col("c")).cast("int")).alias("content"), F.md5(text).alias("clean"))
+    lines = F.transform(F.split("text", r"\r\n|\r|\n"), T.clean_line)
+    docs = read_table(spark, sf, "documents").where("text is not null").select("doc_id", lines.alias("c"))
+    n = lambda c: F.size(c).cast("long")
+    return docs.select("doc_id", n("c").alias("lines"), n(F.filter("c", T.is_noise_line)).alias("noise"), n(F.filter("c", T.looks_like_content)).alias("content"), F.md5(F.array_join("c", "\n")).alias("clean"))
 
 
 @query(

@@ -11,6 +11,7 @@ from loomwright.operators import ranking as R
 from loomwright.operators.aggregates import confusion, correlation, failure_runs, kappa, majority
 from loomwright.operators.blocks import against_all
 from loomwright.operators.code import reachable
+from loomwright.operators.documents import clean_documents
 from loomwright.operators.matching import greedy_matches
 from loomwright.operators.skew import spread_join
 
@@ -111,6 +112,33 @@ def test_blocks_meet_all_rows(spark):
     assert {tuple(x) for x in got.collect()} == {(a, b, float(a * b)) for a in range(30) for b in range(40)}
 
 
+def test_blocks_by_shuffle(spark):
+    """More blocks than are broadcast: rows spread by a salt, and no pair is lost or doubled."""
+    q = spark.createDataFrame([(i, float(i)) for i in range(30)], "q long, x double")
+    r = spark.createDataFrame([(i, float(i)) for i in range(40)], "r long, y double")
+    got = against_all(q, r, (F.col("x") * F.col("y")).alias("s"), ["q"], ["r"], block=4, broadcast_blocks=2)
+    pairs = [tuple(x) for x in got.collect()]
+    assert len(pairs) == 1200 and set(pairs) == {(a, b, float(a * b)) for a in range(30) for b in range(40)}
+
+
+def test_matching_says_when_it_does_not_end(spark):
+    """A chain in which every pair waits for the one before."""
+    chain = [(i, i, 2 * i, False) for i in range(40)] + [(i + 1, i, 2 * i + 1, False) for i in range(40)]
+    pairs = spark.createDataFrame(chain, "l long, r long, rank long, ok boolean")
+    assert {(m.l, m.r) for m in greedy_matches(pairs, "l", "r", "rank", "ok").collect()} == {(i, i) for i in range(40)}
+    waiting = spark.createDataFrame([(i, i, 100 - 2 * i, False) for i in range(9)] + [(i + 1, i, 99 - 2 * i, False) for i in range(9)], "l long, r long, rank long, ok boolean")
+    with pytest.raises(RuntimeError, match="wait for each other"):
+        greedy_matches(waiting, "l", "r", "rank", "ok", max_rounds=1)
+
+
+def test_clean_lines_stay_in_the_row(spark):
+    text = "Head 1\r\n# Title\nHead 1\n\nbody <b>x</b>\n---\nHead 1\nThe form must open.\nThe form must open.\nThe form must open.\n第 3 页"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a\na"), (5, "\n \n")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.text) for r in clean_documents(docs).collect()}
+    assert got == {1: (5, "Title\nbody x\n" + "\n".join(["The form must open."] * 3)), 4: (2, "a\na")}
+    assert clean_documents(docs.limit(0)).count() == 0
+
+
 def test_reachable(spark):
     e = spark.createDataFrame([(1, "A", "B"), (1, "B", "C"), (1, "C", "A"), (1, "X", "Y"), (2, "A", "Z")], "g long, src string, dst string")
     s = spark.createDataFrame([(1, "A"), (2, "B")], "g long, state string")
