@@ -70,6 +70,33 @@ def ascii_terms(text: Column) -> Column:
     return F.filter(F.concat(split, whole), lambda x: F.length(x) >= 2)
 
 
+def han_pairs(text: Column) -> Column:
+    """Overlapping pairs of Han characters that stand together; they take the place of a word segmentation."""
+    runs = F.regexp_extract_all(text, F.lit("([一-龥]{2,})"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+
+
+def terms(text: Column) -> Column:
+    """ASCII terms, then pairs of Han characters."""
+    return F.concat(ascii_terms(text), han_pairs(text))
+
+
+# Words of the domain and their English equivalents; a dictionary file can take their place.
+EQUIVALENTS = {
+    "数量": ["quantity", "count"], "状态": ["status", "state"], "编号": ["number", "id"], "金额": ["amount"], "时间": ["time"], "用户": ["user"], "订单": ["order"], "列表": ["list"],
+    "查询": ["query", "find"], "删除": ["delete", "remove"], "更新": ["update"], "审核": ["audit", "review"], "登录": ["login"], "日期": ["date"], "重试": ["retry"], "锁定": ["lock"],
+}
+#: Weight of an equivalent beside a term.
+EQUIVALENT_WEIGHT = 0.5
+
+
+def weighted_terms(text: Column, equivalents: dict[str, list[str]] = EQUIVALENTS) -> Column:
+    """(term, weight): each term with 1, and the English equivalents of the dictionary's words that the text has, once each."""
+    own = F.transform(terms(text), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight")))
+    also = F.array(*[F.when(F.contains(text, F.lit(w)), F.struct(F.lit(e).alias("term"), F.lit(EQUIVALENT_WEIGHT).alias("weight"))) for w, es in equivalents.items() for e in es])
+    return F.concat(own, F.filter(also, lambda x: x.isNotNull()))
+
+
 def numbers(text: Column) -> Column:
     """Integers of one to four digits that stand alone among ASCII word characters."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([0-9]{1,4})(?![A-Za-z0-9_])"), F.lit(1)), lambda x: x.cast("int"))

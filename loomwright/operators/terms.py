@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.skew import spread_join
+
 
 def term_frequencies(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id_col, term, tf): shares of a row's terms."""
-    rows = df.select(id_col, terms.alias("_t")).where(F.size("_t") > 0).select(id_col, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    return rows.groupBy(id_col, "term").agg((F.count(F.lit(1)) / F.max("_n")).alias("tf"))
+    """(id_col, term, tf): shares of a row's weighted terms(term, weight). A row without terms gives none."""
+    total = F.aggregate("_t", F.lit(0.0), lambda s, x: s + x["weight"])
+    rows = df.select(id_col, terms.alias("_t")).where(F.size("_t") > 0).select(id_col, total.alias("_n"), F.explode("_t").alias("_x"))
+    return rows.groupBy(id_col, "_x.term").agg((F.sum("_x.weight") / F.max("_n")).alias("tf"))
 
 
 def inverse_document_frequency(tf: DataFrame, id_col: str) -> DataFrame:
@@ -22,12 +25,13 @@ def sparse_cosine(queries: DataFrame, rows: DataFrame, idf: DataFrame, query_id:
     """(query_id, row_id, similarity): TF-IDF cosine of all pairs that share a term; every other pair of rows with terms
     has 0 and is not written. Terms without idf weigh 1, the result is at most 1.
 
-    The term join is the only way pairs arise: a query's terms meet the inverted index of the rows, never all rows.
+    The term join is the only way pairs arise: a query's terms meet the inverted index of the rows, never all rows. The rows
+    of a frequent term spread over tasks by a salt, for which the queries' terms are repeated.
     """
     weigh = lambda tf, name: tf.join(idf.select("term", "idf"), "term", "left").withColumn(name, F.col("tf") * F.coalesce("idf", F.lit(1.0))).drop("tf", "idf")
     q, r = weigh(queries, "wq"), weigh(rows, "wr")
     q_norm = q.groupBy(query_id).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
     r_norm = r.groupBy(row_id).agg(F.sqrt(F.sum(F.col("wr") * F.col("wr"))).alias("nr"))
-    dots = q.join(r, "term").groupBy(query_id, row_id).agg(F.sum(F.col("wq") * F.col("wr")).alias("dot"))
+    dots = spread_join(r, q, ["term"], F.xxhash64(row_id)).groupBy(query_id, row_id).agg(F.sum(F.col("wq") * F.col("wr")).alias("dot"))
     joined = dots.join(q_norm, query_id).join(r_norm, row_id)
     return joined.select(query_id, row_id, F.least(F.lit(1.0), F.col("dot") / (F.col("nq") * F.col("nr"))).alias("similarity"))

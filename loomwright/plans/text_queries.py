@@ -82,18 +82,28 @@ def t7_t8_w16_business_ids(spark, sf):
     return D.business_ids(items, ["id"], "text")
 
 
-_TERMS = "list_filter(list_concat(flatten(list_transform(w, lambda x: list_filter(string_split_regex(lower(regexp_replace(x, '([A-Z])', '_\\1', 'g')), '_+'), lambda y: y <> ''))), list_transform(w, lambda x: lower(x))), lambda y: length(y) >= 2)"
-_TF = f"w AS (SELECT id, regexp_extract_all(original_text, '([A-Za-z_][A-Za-z_0-9]*)', 1) AS w FROM requirements), t AS (SELECT id, {_TERMS} AS ts FROM w), f AS (SELECT id, term, count(*)::DOUBLE / max(n) AS tf FROM (SELECT id, len(ts) AS n, unnest(ts) AS term FROM t WHERE len(ts) > 0) GROUP BY 1, 2)"
+_WORDS = "regexp_extract_all({t}, '([A-Za-z_][A-Za-z_0-9]*)', 1)"
+_ASCII = "list_filter(list_concat(flatten(list_transform({w}, lambda x: list_filter(string_split_regex(lower(regexp_replace(x, '([A-Z])', '_\\1', 'g')), '_+'), lambda y: y <> ''))), list_transform({w}, lambda x: lower(x))), lambda y: length(y) >= 2)".replace("{w}", _WORDS)
+_HAN = "flatten(list_transform(regexp_extract_all({t}, '([一-龥]{{2,}})', 1), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))"
+_ALSO = ", ".join(f"CASE WHEN contains({{t}}, '{w}') THEN {{{{'term': '{e}', 'weight': {T.EQUIVALENT_WEIGHT}::DOUBLE}}}} END" for w, es in T.EQUIVALENTS.items() for e in es)
+_TERMS = "list_concat(list_transform(list_concat(" + _ASCII + ", " + _HAN + "), lambda x: {{'term': x, 'weight': 1.0::DOUBLE}}), list_filter([" + _ALSO + "], lambda x: x IS NOT NULL))"
+
+
+def _frequencies(name, key, source):
+    return f"{name}_t AS (SELECT {key}, {_TERMS.format(t='original_text')} AS ts FROM {source} WHERE original_text IS NOT NULL), {name} AS (SELECT {key}, x.term AS term, sum(x.weight) / max(n) AS tf FROM (SELECT {key}, list_sum(list_transform(ts, lambda x: x.weight)) AS n, unnest(ts) AS x FROM {name}_t WHERE len(ts) > 0) GROUP BY 1, 2)"
+
+
+_TF = _frequencies("f", "id", "requirements")
 
 
 @query(WITH + ", " + _TF + " SELECT id, term, round(tf, 6) AS tf FROM f")
 def t9_t10_term_frequencies(spark, sf):
-    return term_frequencies(requirements(spark, sf), "id", T.ascii_terms(F.col("original_text"))).withColumn("tf", F.round("tf", 6))
+    return term_frequencies(requirements(spark, sf), "id", T.weighted_terms(F.col("original_text"))).withColumn("tf", F.round("tf", 6))
 
 
 @query(WITH + ", " + _TF + " SELECT term, count(*) AS df, round(ln(((SELECT count(DISTINCT id) FROM f) + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM f GROUP BY 1")
 def a17_idf(spark, sf):
-    tf = term_frequencies(requirements(spark, sf), "id", T.ascii_terms(F.col("original_text")))
+    tf = term_frequencies(requirements(spark, sf), "id", T.weighted_terms(F.col("original_text")))
     return inverse_document_frequency(tf, "id").withColumn("idf", F.round("idf", 6))
 
 
@@ -101,10 +111,9 @@ def a17_idf(spark, sf):
     WITH
     + ", "
     + _TF
-    + """, cw AS (SELECT case_id, regexp_extract_all(original_text, '([A-Za-z_][A-Za-z_0-9]*)', 1) AS w FROM cases), ct AS (SELECT case_id, """
-    + _TERMS
-    + """ AS ts FROM cw),
-cf AS (SELECT case_id, term, count(*)::DOUBLE / max(n) AS tf FROM (SELECT case_id, len(ts) AS n, unnest(ts) AS term FROM ct WHERE len(ts) > 0) GROUP BY 1, 2),
+    + ", "
+    + _frequencies("cf", "case_id", "cases")
+    + """,
 idf AS (SELECT term, ln(((SELECT count(DISTINCT id) FROM f) + 1.0) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY 1),
 q AS (SELECT f.id, f.term, tf * coalesce(idf, 1) AS w FROM f LEFT JOIN idf USING (term) WHERE f.id % 50 = 0), r AS (SELECT case_id, cf.term, tf * coalesce(idf, 1) AS w FROM cf LEFT JOIN idf USING (term)),
 qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM q GROUP BY 1), rn AS (SELECT case_id, sqrt(sum(w * w)) AS n FROM r GROUP BY 1),
@@ -113,9 +122,9 @@ s AS (SELECT d.id, d.case_id, round(least(1, dot / (qn.n * rn.n)), 6) AS similar
 SELECT id, case_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, case_id) AS rank FROM s) WHERE rank <= 3"""
 )
 def m2_w1_nearest_cases(spark, sf):
-    tf = term_frequencies(requirements(spark, sf), "id", T.ascii_terms(F.col("original_text")))
+    tf = term_frequencies(requirements(spark, sf), "id", T.weighted_terms(F.col("original_text")))
     idf = inverse_document_frequency(tf, "id")
-    rows = term_frequencies(cases(spark, sf), "case_id", T.ascii_terms(F.col("original_text")))
+    rows = term_frequencies(cases(spark, sf), "case_id", T.weighted_terms(F.col("original_text")))
     pairs = sparse_cosine(tf.where("id % 50 = 0"), rows, idf, "id", "case_id").withColumn("similarity", F.round("similarity", 6))
     return top_per(pairs, ["id"], [F.desc("similarity"), F.asc("case_id")], 3)
 
