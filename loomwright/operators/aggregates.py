@@ -43,13 +43,14 @@ def confusion(df: DataFrame, truth: Column, said: Column, by: list[str] | None =
     return counts.select("*", F.round(rate(tp + tn, tp + fp + fn + tn), 6).alias("accuracy"), F.round(rate(fn, tp + fn), 6).alias("miss_rate"), F.round(rate(fp, fp + tn), 6).alias("fp_rate"))
 
 
-def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Cohen's kappa of two boolean columns: n, agreement, expected agreement, kappa (1 where chance agreement is sure)."""
-    s = df.where(a.isNotNull() & b.isNotNull()).agg(F.count(F.lit(1)).alias("n"), count_if(a == b).alias("same"), count_if(a).alias("a1"), count_if(b).alias("b1"))
+def kappa(df: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
+    """Cohen's kappa of two boolean columns, per group of ``by``: n, agreement, expected agreement, kappa (1 where chance
+    agreement is sure)."""
+    s = df.where(a.isNotNull() & b.isNotNull()).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), count_if(a == b).alias("same"), count_if(a).alias("a1"), count_if(b).alias("b1"))
     n = F.col("n").cast("double")
     po = F.when(n > 0, F.col("same") / n)
     pe = F.when(n > 0, F.col("a1") / n * (F.col("b1") / n) + (1 - F.col("a1") / n) * (1 - F.col("b1") / n))
-    return s.select("n", F.round(po, 6).alias("po"), F.round(pe, 6).alias("pe"), F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
+    return s.select(*(by or []), "n", F.round(po, 6).alias("po"), F.round(pe, 6).alias("pe"), F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -62,3 +62,37 @@ def capped_queue(df: DataFrame, classes: list[Column], order: list[str], cap: in
     priority = F.coalesce(*[F.when(c, i) for i, c in enumerate(classes)], F.lit(len(classes)))
     queue = numbered(df.withColumn("priority", priority), ["priority", *order], "place", 1)
     return queue.withColumn("picked", (F.col("place") <= cap) & (F.col("priority") < len(classes)))
+
+
+def review_plan(df: DataFrame, classes: list[Column], order: list[str], rate: float, cap: int) -> DataFrame:
+    """Rows with their class (the first of ``classes`` that they meet, else len(classes)), and for those to review their
+    place and reason (their class; len(classes) for a probe).
+
+    Classes come one after the other, each in the given order; then probes, a systematic sample at ``rate`` of the rows in
+    no class. The queue ends at ``cap`` (none for 0 or less); whatever is past it has no place.
+    """
+    n = len(classes)
+    first = F.coalesce(*[F.when(c, i) for i, c in enumerate(classes)], F.lit(n))
+    rows = cut(numbered(df, order, "ord", 1).withColumn("class", first))
+    clear = rows.where(F.col("class") == n)
+    size = clear.count()
+    want = -int(-size * rate // 1) if rate > 0 else 0
+    stride = max(1, size // want) if want else 1
+    probe = (F.col("_i") % stride == 0) & (F.col("_i") / stride < want)
+    marked = numbered(clear, ["ord"], "_i").withColumn("_probe", probe).drop("_i")
+    every = cut(rows.where(F.col("class") < n).withColumn("_probe", F.lit(False)).unionByName(marked))
+    chosen = (F.col("class") < n) | F.col("_probe")
+    queue = numbered(every.where(chosen), ["class", "ord"], "place", 1)
+    queue = queue.withColumn("place", F.when((F.col("place") <= cap) | F.lit(cap <= 0), F.col("place").cast("long")))
+    reason = F.when(F.col("place").isNotNull(), F.col("class"))
+    return queue.unionByName(every.where(~chosen).withColumn("place", F.lit(None).cast("long"))).drop("_probe").withColumn("reason", reason)
+
+
+def escalated(plan: DataFrame, defect: Column, order: list[str], rate: float, budget: int) -> DataFrame:
+    """If at least ``rate`` of the judged probes of a review plan prove defective, and one at all, the first ``budget`` of the
+    rows that have no place and are in no class; else none."""
+    last = plan.agg(F.max("class").alias("n")).first().n
+    probes = plan.where((F.col("class") == F.lit(last)) & F.col("place").isNotNull())
+    judged = probes.agg(F.count(F.lit(1)).alias("judged"), F.coalesce(F.sum(defect.cast("long")), F.lit(0)).alias("bad")).first()
+    go = judged.bad > 0 and judged.bad / judged.judged >= rate
+    return top_n(plan.where((F.col("class") == F.lit(last)) & F.col("place").isNull()), [F.asc(c) for c in order], budget if go else 0)

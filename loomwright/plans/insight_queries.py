@@ -198,19 +198,6 @@ def a19_confusion(spark, sf):
     return A.confusion(cases(spark, sf), ~F.col("false_positive"), F.col("quality_precision") >= 0.5)
 
 
-@query(
-    """WITH a AS (SELECT pair_id, annotator, bool_or(NOT consistent) AS bad FROM second_annotation WHERE consistent IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT count(*) AS n, sum((a.bad = b.bad)::INT)::DOUBLE AS same, sum(a.bad::INT)::DOUBLE AS a1, sum(b.bad::INT)::DOUBLE AS b1 FROM a JOIN a b ON a.pair_id = b.pair_id AND a.annotator = 'reviewer-B' AND b.annotator = 'llm:mossback:13b-blind'),
-p AS (SELECT n, same / n AS po, a1 / n * (b1 / n) + (1 - a1 / n) * (1 - b1 / n) AS pe FROM s)
-SELECT n, round(po, 6) AS po, round(pe, 6) AS pe, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM p"""
-)
-def a22_kappa(spark, sf):
-    votes = read_table(spark, sf, "second_annotation").where("consistent is not null").groupBy("pair_id", "annotator").agg(F.bool_or(~F.col("consistent")).alias("bad"))
-    a = votes.where("annotator = 'reviewer-B'").select("pair_id", F.col("bad").alias("a"))
-    b = votes.where("annotator = 'llm:mossback:13b-blind'").select("pair_id", F.col("bad").alias("b"))
-    return A.kappa(a.join(b, "pair_id"), F.col("a"), F.col("b"))
-
-
 @query("SELECT count(*) AS n, round(corr(quality_precision, quality_recall), 6) AS correlation FROM defect_detection_case WHERE quality_precision IS NOT NULL AND quality_recall IS NOT NULL")
 def a23_correlation(spark, sf):
     return A.correlation(cases(spark, sf), "quality_precision", "quality_recall")

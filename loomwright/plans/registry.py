@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.plans import code_queries, insight_queries, integrity_queries, reference_queries, relational_queries, scoring_queries, signal_queries, text_queries
+from loomwright.plans import code_queries, insight_queries, integrity_queries, record_queries, reference_queries, relational_queries, scoring_queries, signal_queries, text_queries
 
-_MODULES = (code_queries, insight_queries, integrity_queries, reference_queries, relational_queries, scoring_queries, signal_queries, text_queries,)
+_MODULES = (code_queries, insight_queries, integrity_queries, record_queries, reference_queries, relational_queries, scoring_queries, signal_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -122,13 +122,6 @@ def j9_j11_never_judged(spark, sf):
     return read_table(spark, sf, "consistency_pair").join(read_table(spark, sf, "second_annotation"), "pair_id", "left_anti").select("pair_id")
 
 
-@query(WITH + ", m AS (SELECT project_id, max(weight_alpha) AS most FROM tasks GROUP BY 1) SELECT p.id, round(coalesce(most, 0), 6) AS most FROM projects p LEFT JOIN m ON m.project_id = p.id WHERE p.id NOT IN (SELECT project_id FROM requirements WHERE project_id IS NOT NULL) AND coalesce(most, 0) < 0.9")
-def j10_a18_projects_without_requirements(spark, sf):
-    most = tasks(spark, sf).groupBy(F.col("project_id").alias("id")).agg(F.max("weight_alpha").alias("most"))
-    bare = projects(spark, sf).join(requirements(spark, sf).select(F.col("project_id").alias("id")), "id", "left_anti").join(most, "id", "left")
-    return bare.select("id", r6(F.coalesce("most", F.lit(0.0)), "most")).where("most < 0.9")
-
-
 @query("SELECT c.pair_id, v.participant, s.consistent FROM participant_verdict v JOIN consistency_pair c ON v.project = c.project AND v.req_id = c.req_id AND v.file = c.file AND v.method_name = c.method_name JOIN second_annotation s ON s.pair_id = c.pair_id WHERE s.consistent IS NOT NULL AND s.annotator = 'reviewer-B'")
 def j8_j13_j14_composite_join(spark, sf):
     second = read_table(spark, sf, "second_annotation").where("consistent is not null and annotator = 'reviewer-B'").select("pair_id", "consistent")
@@ -169,22 +162,6 @@ def w13_thinned(spark, sf):
 _QUEUE = "SELECT case_id, CASE WHEN severity = 'high' AND NOT false_positive THEN 0 WHEN quality_precision < 0.5 THEN 1 WHEN severity = 'medium' THEN 2 ELSE 3 END AS priority, file_path FROM defect_detection_case"
 
 
-@query(f"WITH q AS ({_QUEUE}) SELECT case_id, priority, row_number() OVER (ORDER BY priority, case_id, file_path) AS place, row_number() OVER (ORDER BY priority, case_id, file_path) <= 100 AND priority < 3 AS picked FROM q")
-def w14_capped_queue(spark, sf):
-    classes = [(F.col("severity") == "high") & ~F.col("false_positive"), F.col("quality_precision") < 0.5, F.col("severity") == "medium"]
-    return R.capped_queue(cases(spark, sf), classes, ["case_id", "file_path"], 100).select("case_id", "priority", F.col("place").cast("long"), "picked")
-
-
-@query(
-    f"""WITH q AS ({_QUEUE}), n AS (SELECT *, row_number() OVER (ORDER BY priority, case_id, file_path) AS place FROM q), r AS (SELECT count(*) FILTER (WHERE priority = 0)::DOUBLE / count(*) AS rate FROM q)
-SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY place) AS k FROM n WHERE place > 100 OR priority = 3), r WHERE k <= CASE WHEN rate >= 0.1 THEN 50 ELSE 0 END"""
-)
-def w15_escalation(spark, sf):
-    queue = w14_capped_queue(spark, sf)
-    rate = queue.agg((count_if(F.col("priority") == 0) / F.count(F.lit(1))).alias("rate")).first().rate
-    return R.top_n(queue.where("not picked"), [F.asc("place")], 50 if (rate or 0) >= 0.1 else 0).select("case_id")
-
-
 @query(
     """SELECT 'task' AS source, id::VARCHAR AS key, NULL AS detail FROM (SELECT DISTINCT id FROM tg_analysis_task WHERE deleted = 1) UNION ALL SELECT 'failure', failure_id::VARCHAR, reason FROM parse_failure UNION ALL SELECT 'case', case_id, defect_type FROM defect_detection_case WHERE false_positive"""
 )

@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 
 def append_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Append Parquet, one folder per value; rows of a value are brought together first, so that files stay few."""
-    df.repartition(by).write.mode("append").partitionBy(by).parquet(path)
-
-
-def replace_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Replace the folders of the values that occur in ``df``, and leave all others as they are."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Append Parquet, one folder per value; rows of a value are brought together first, so that files stay few, but those
+    of a very frequent one are split."""
+    df.hint("rebalance", by).write.mode("append").partitionBy(by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str, values: list | None = None) -> None:
+    """Replace the folders of the values that occur in ``df``, and leave all others as they are. Of the given ``values``,
+    such as the projects of a run, those that ``df`` no longer has lose their old rows as well."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if values:
+        there = {r[0] for r in df.where(F.col(by).isin(values)).select(by).distinct().collect()}  # at most the given values
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for v in values:
+            if v not in there:
+                folder = jvm.org.apache.hadoop.fs.Path(path, f"{by}={v}")
+                folder.getFileSystem(conf).delete(folder, True)
 
 
 def export_csv(df: DataFrame, path: str, columns: dict[str, str]) -> None:

@@ -44,6 +44,8 @@ def test_sinks(spark, tmp_path):
     sinks.append_partitioned(rows([(1, 1), (2, 2)]), path, "project_id")
     sinks.replace_partitions(rows([(2, 9)]), path, "project_id")
     assert {(r.project_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 9)}
+    sinks.replace_partitions(rows([(1, 5)]), path, "project_id", [1, 2, 3])
+    assert {(r.project_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, 5)}
     sinks.export_csv(rows([(1, 1)]), str(tmp_path / "csv"), {"v": "Value"})
     assert readers.read_csv(spark, str(tmp_path / "csv")).columns == ["Value"]
     v = spark.createDataFrame([(1, [0.5, 1.0]), (2, None)], "id long, vector array<double>")
