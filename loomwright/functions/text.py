@@ -11,12 +11,16 @@ IMPORTANT_WORDS = ["应", "应该", "重要", "should", "important"]
 OPTIONAL_WORDS = ["可以", "可选", "may", "optional"]
 NON_FUNCTIONAL_WORDS = ["性能", "响应时间", "并发", "安全", "可用性", "毫秒", "performance", "latency", "within", "security"]
 CONSTRAINT_WORDS = ["约束", "限制", "不得", "不超过", "at most", "no more than", "lie between", "constraint"]
-AMBIGUOUS_WORDS = ["适当", "尽快", "合理", "若干", "大约", "可能", "含糊", "建议", "some", "several", "quickly", "approximately", "reasonable", "as usual"]
+AMBIGUOUS_WORDS = ["等", "等等", "适当", "合适", "合理", "可能", "也许", "若干", "一些", "方便", "友好"]
+CONTRADICTIONS = [("必须", "禁止"), ("必须", "不得"), ("禁止", "允许"), ("不得", "允许"), ("启用", "禁用")]
 STATE_NAMES = ["PENDING", "PAID", "SHIPPED", "UNPUBLISHED", "PUBLISHED", "ACTIVE", "INACTIVE", "SUCCESS", "FAILED", "COMPLETED", "CANCELLED"]
 STATE_WORDS = {"未发布": "UNPUBLISHED", "已发布": "PUBLISHED", "待支付": "PENDING", "已支付": "PAID", "已发货": "SHIPPED", "已完成": "COMPLETED", "已取消": "CANCELLED", "待处理": "PENDING"}
 UNITS = ["秒", "分钟", "min", "second", "条", "次", "字符", "个字", "分"]
 BOUND_WORDS = ["最多", "不低于", "至少", "不超过", "上限", "窗口"]
 BEHAVIOUR_WORDS = ["应", "必须", "需要", "可以", "不得", "shall", "must", "should", "may"]
+SENSITIVE_ACTIONS = "删除|修改|更新|导出"
+PERMISSION_WORDS = "权限|角色|授权|管理员|审批|登录"
+RANGE_WORDS = "至少|最多|不超过|不低于|大于|小于|等于|以内|以上|以下|少于|多于|范围|之间"
 STOP_WORDS = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "into", "then", "than", "not"]
 
 NUMBERING = r"^(REQ-[0-9]+[:：]|[0-9]+[.、)]|[一二三四五六七八九十]+、)"

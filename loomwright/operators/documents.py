@@ -73,6 +73,25 @@ def business_ids(items: DataFrame, order: list[str], text: str, start: int = 1)
     return numbered(kept, order, "_n", start).withColumn("business_id", F.format_string("REQ-%04d", F.col("_n"))).drop("_n")
 
 
+def quality_issues(docs: DataFrame, id_col: str, text_col: str, words: list[str], pairs: list[tuple[str, str]], around: int = 15) -> DataFrame:
+    """(id_col, type, keyword, excerpt): vague words; two words that exclude each other, the second without 不 before it; and
+    missing boundaries: an action on data without a word on who may do it, a number without a word on its range."""
+    t = F.col(text_col)
+    issue = lambda kind, keyword, at: F.struct(F.lit(kind).alias("type"), keyword.alias("keyword"), at.alias("at"))
+    vague = [F.when(F.contains(t, F.lit(w)), issue("ambiguity", F.lit(w), F.lit(w))) for w in words]
+    against = [F.when(F.contains(t, F.lit(a)) & t.rlike(f"(^|[^不]){b}"), issue("contradiction", F.lit(f"{a} / {b}"), F.lit(a))) for a, b in pairs]
+    action, number = F.regexp_extract(t, T.SENSITIVE_ACTIONS, 0), F.regexp_extract(t, "[0-9]+", 0)
+    missing = [
+        F.when((action != "") & ~t.rlike(T.PERMISSION_WORDS), issue("missing_boundary", F.concat(F.lit("敏感操作："), action), action)),
+        F.when((number != "") & ~t.rlike(T.RANGE_WORDS), issue("missing_boundary", F.lit("数量边界"), number)),
+    ]
+    found = F.explode(F.filter(F.array(*vague, *against, *missing), lambda x: x.isNotNull()))
+    rows = docs.where(t.isNotNull()).select(id_col, t.alias("_t"), found.alias("i"))
+    first = F.expr("greatest(0, locate(i.at, _t) - 1 - %d)" % around)
+    length = F.expr("locate(i.at, _t) - 1 + length(i.at) + %d" % around) - first
+    return rows.select(id_col, "i.type", "i.keyword", F.substring("_t", first + 1, length).alias("excerpt"))
+
+
 def ambiguity_report(docs: DataFrame, id_col: str, text_col: str, words: list[str], around: int = 15) -> DataFrame:
     """(id_col, word, excerpt) of the first occurrence of each vague word, with the text around it."""
     t = F.lower(F.col(text_col))

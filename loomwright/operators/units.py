@@ -36,24 +36,93 @@ def _terms(code: str) -> str:
     return " ".join(dict.fromkeys(kinds + calls))
 
 
-def braced_units(code: str, language: str) -> Iterator[tuple]:
-    """Methods of a language with braces; literals and comments do not count, an unclosed method reaches to the end."""
-    bare = _LITERALS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+def _blanked(code: str) -> str:
+    """Literals and comments blanked out, line ends kept."""
+    return _LITERALS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+
+
+def _functions(bare: str, language: str) -> Iterator[tuple[str, int, int, int]]:
+    """(name, first character, first character of the body, end) of each method; an unclosed one reaches to the end."""
     end = -1
     for m in _BEGINS[language].finditer(bare):
         if m[1] in _NOT_NAMES or m.start() < end:
             continue
         depth, at = 1, m.end()
         while depth and at < len(bare):
-            step = re.compile(r"[{}]").search(bare, at)
+            step = _BRACE.search(bare, at)
             if step is None:
                 at = len(bare)
                 break
             depth += 1 if step[0] == "{" else -1
             at = step.end()
-        body, end = bare[m.end() : at], at
-        begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        yield m[1], bare.count("\n", 0, begin) + 1, bare.count("\n", 0, max(begin, at - 1)) + 1, 1 + len(_DECISIONS.findall(body)), _terms(body)
+        end = at
+        yield m[1], m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), at
+
+
+_BRACE = re.compile(r"[{}]")
+
+
+def braced_units(code: str, language: str) -> Iterator[tuple]:
+    """Methods of a language with braces; literals and comments do not count."""
+    bare = _blanked(code)
+    for name, begin, body, end in _functions(bare, language):
+        inside = bare[body:end]
+        yield name, bare.count("\n", 0, begin) + 1, bare.count("\n", 0, max(begin, end - 1)) + 1, 1 + len(_DECISIONS.findall(inside)), _terms(inside)
+
+
+# C functions that write without a bound, in the order in which they are looked for.
+UNBOUNDED = ["gets(", "strcpy(", "strcat(", "sprintf("]
+_ALLOCATES = re.compile(r"\b(?:malloc|calloc|realloc)\s*\(")
+_DISCARDS = re.compile(r"(?m)(?:^|[\s,;{])_\s*:?=\s*(?!range\b)[^\n;=][^\n;]*\)[ \t]*(?:;|\{|$)")
+
+
+def c_function_defects(text: str, bare: str) -> Iterator[tuple[int, str]]:
+    """(place, check) in one function of C or C++: an allocation that is never freed or never compared with null, a file
+    that is never closed, the first call without a bound, and handlers of everything."""
+
+    def call(name: str) -> int:
+        m = re.search(rf"\b{name}\s*\(", bare)
+        return m.start() if m else 0
+
+    if _ALLOCATES.search(bare):
+        if "free(" not in text:
+            yield call("malloc"), "memory_leak"
+        if not any(w in text for w in ("NULL", "nullptr", "assert")):
+            yield call("malloc"), "null_risk"
+    if re.search(r"\bfopen\s*\(", bare) and "fclose(" not in text:
+        yield call("fopen"), "file_not_closed"
+    for name in UNBOUNDED:
+        if name in text:
+            yield text.index(name), "unbounded_call"
+            break
+    for m in re.finditer(r"\bcatch\s*\(\s*\.\.\.\s*\)", bare):
+        yield m.start(), "catch_all"
+
+
+def go_function_defects(text: str, bare: str) -> Iterator[tuple[int, str]]:
+    """(place, check) in one function of Go: an error that is received and never looked at, or thrown away, something that is
+    opened and never closed, or locked and never unlocked, and panics. Comments guard nothing."""
+    plain = re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", " ", text)
+    if any(w in plain for w in (", err :=", ", err =", "err :=")) and not any(w in plain for w in ("err != nil", "err == nil", "if err")):
+        yield 0, "error_not_checked"
+    for m in _DISCARDS.finditer(bare):
+        yield bare.index("_", m.start()), "error_ignored"
+    for name, undo, check in (("Open", "Close", "not_closed"), ("Lock", "Unlock", "not_unlocked")):
+        m = re.search(rf"\.{name}\s*\(", bare)
+        if m and undo not in plain:
+            yield m.start(), check
+    m = re.search(r"(?<![\w.])panic\s*\(", bare)
+    if m:
+        yield m.start(), "panic"
+
+
+def function_defects(code: str, language: str) -> Iterator[tuple[str, int, str]]:
+    """(function, line, check) of a file of C, C++ or Go."""
+    find = {"c": c_function_defects, "cpp": c_function_defects, "go": go_function_defects}.get(language)
+    bare = _blanked(code) if find else ""
+    for name, begin, _, end in _functions(bare, language) if find else ():
+        for place, check in find(code[begin:end], bare[begin:end]):
+            yield name, code.count("\n", 0, begin + place) + 1, check
 
 
 def python_units(code: str) -> Iterator[tuple]:
@@ -108,6 +177,12 @@ def python_static_defects(files: DataFrame, id_col: str, name_col: str, code_col
     return _expand(files.where(F.lower(F.col(name_col)).endswith(".py")), id_col, name_col, code_col, lambda code, _: python_defects(code), schema)
 
 
+def function_static_defects(files: DataFrame, id_col: str, name_col: str, code_col: str) -> DataFrame:
+    """(id_col, language, name, line_no, check) of each finding in the functions of C, C++ and Go files."""
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("check", T.StringType())])
+    return _expand(files.where(F.lower(F.col(name_col)).rlike(r"\.(go|c|h|cpp|cc|hpp)$")), id_col, name_col, code_col, function_defects, schema)
+
+
 def _expand(files: DataFrame, id_col: str, name_col: str, code_col: str, extract, fields: T.StructType) -> DataFrame:
     src = files.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(name_col).alias("_name"), F.col(code_col).alias("_code"))
     schema = T.StructType([T.StructField("_id", src.schema["_id"].dataType), T.StructField("language", T.StringType()), *fields.fields])

@@ -37,7 +37,7 @@ def _check(lang, name, pattern):
 
 
 @query("WITH " + _lines_sql("defect_detection_case", "case_id", "file_path", "code_content") + " " + " UNION ALL ".join(_check(lang, name, p) for lang, checks in K.CHECKS.items() for name, p in checks.items()))
-def g5_g8_static_defects(spark, sf):
+def g5_static_defects(spark, sf):
     return K.static_defects(K.code_lines(cases(spark, sf), "case_id", "file_path", "code_content"), "case_id")
 
 
@@ -110,6 +110,11 @@ def g2_g4_code_units(spark, sf):
     return U.code_units(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")
 
 
+@query()
+def g7_g8_function_defects(spark, sf):
+    return U.function_static_defects(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")
+
+
 @query()
 def g6_python_defects(spark, sf):
     return U.python_static_defects(read_table(spark, sf, "source_file"), "file_id", "file_name", "content")

@@ -153,13 +153,21 @@ def t18_t20_f9_titles(spark, sf):
     return requirements(spark, sf).where(t.isNotNull()).select("id", T.title(t).alias("title"), T.priority(t).alias("priority"), T.requirement_type(t).alias("kind"), T.truncated(t, 40).alias("short"))
 
 
-@query(
-    WITH
-    + f""", w AS (SELECT id, original_text AS t, unnest([{", ".join(repr(w) for w in T.AMBIGUOUS_WORDS)}]) AS word FROM requirements)
-SELECT id, word, substr(t, greatest(1, strpos(lower(t), word) - 15), length(word) + 30) AS excerpt FROM w WHERE contains(lower(t), word)"""
+_PAIRS = T.CONTRADICTIONS
+_VAGUE = [*T.AMBIGUOUS_WORDS, "some", "several", "quickly", "reasonable"]
+_ISSUES = ", ".join(
+    [f"CASE WHEN contains(t, '{w}') THEN {{'type': 'ambiguity', 'keyword': '{w}', 'at': '{w}'}} END" for w in _VAGUE]
+    + [f"CASE WHEN contains(t, '{a}') AND regexp_matches(t, '(^|[^不]){b}') THEN {{'type': 'contradiction', 'keyword': '{a} / {b}', 'at': '{a}'}} END" for a, b in _PAIRS]
+    + [
+        f"CASE WHEN regexp_matches(t, '{T.SENSITIVE_ACTIONS}') AND NOT regexp_matches(t, '{T.PERMISSION_WORDS}') THEN {{'type': 'missing_boundary', 'keyword': '敏感操作：' || regexp_extract(t, '{T.SENSITIVE_ACTIONS}'), 'at': regexp_extract(t, '{T.SENSITIVE_ACTIONS}')}} END",
+        f"CASE WHEN regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '{T.RANGE_WORDS}') THEN {{'type': 'missing_boundary', 'keyword': '数量边界', 'at': regexp_extract(t, '[0-9]+')}} END",
+    ]
 )
-def t21_ambiguities(spark, sf):
-    return D.ambiguity_report(requirements(spark, sf), "id", "original_text", T.AMBIGUOUS_WORDS)
+
+
+@query(WITH + f", i AS (SELECT id, t, unnest(list_filter([{_ISSUES}], lambda x: x IS NOT NULL)) AS i FROM (SELECT id, original_text AS t FROM requirements WHERE original_text IS NOT NULL)) SELECT id, i.type AS type, i.keyword AS keyword, substr(t, greatest(0, strpos(t, i.at) - 16) + 1, strpos(t, i.at) - 1 + length(i.at) + 15 - greatest(0, strpos(t, i.at) - 16)) AS excerpt FROM i")
+def t21_quality_issues(spark, sf):
+    return D.quality_issues(requirements(spark, sf), "id", "original_text", _VAGUE, _PAIRS)
 
 
 @query(WITH + f""", e AS (SELECT id, map({list(T.CONSTRAINT_KINDS)}, [{", ".join(f"len(regexp_extract_all(original_text, '(?:{p})'))" for p in T.CONSTRAINT_KINDS.values())}]) AS m FROM requirements WHERE original_text IS NOT NULL)

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 from loomwright.functions import scoring as S
 from loomwright.functions import signals as G
 from loomwright.functions import text as T
-from loomwright.operators.documents import clean_documents, numbered_segments, document_lines
-from loomwright.operators.units import code_units, python_static_defects
+from loomwright.operators.documents import clean_documents, document_lines, numbered_segments, quality_issues
+from loomwright.operators.units import code_units, function_static_defects, python_static_defects
 
 JAVA = """package a;
 class A {
@@ -158,3 +158,82 @@ def test_documents(spark):
     assert clean == {1: "Title\n1. first\ngoes on\nREQ-002: must hold\nx y"}
     items = {(r.doc_id, r.text) for r in numbered_segments(document_lines(docs)).collect()}
     assert items == {(1, "1. first goes on"), (1, "REQ-002: **must** hold ----- Page 3 head <b>x</b> [y](http://z)")}
+
+
+C_CODE = """#include <stdio.h>
+int leak(int n) {
+    /* free(p) */
+    char *p = malloc(n);
+    p[0] = 'a';
+    return 0;
+}
+int fine(int n) {
+    char *p = malloc(n);
+    if (p == NULL) { return 1; }
+    free(p);
+    return 0;
+}
+void copy(char *a, const char *b) {
+    // strcpy
+    strcpy(a, b);
+    strcat(a, b);
+}
+int open_it(const char *n) {
+    FILE *f = fopen(n, "r");
+    return f != 0;
+}
+"""
+GO_CODE = """package a
+
+func Bad(n string) int {
+\tf, err := os.Open(n)
+\t// if err != nil, Close
+\treturn f.Size()
+}
+
+func Good(n string) error {
+\tf, err := os.Open(n)
+\tif err != nil {
+\t\treturn err
+\t}
+\tdefer f.Close()
+\treturn nil
+}
+
+func Drop() {
+\tx, _ := load(1)
+\tfor _, v := range x {
+\t\tuse(v)
+\t}
+\tmu.Lock()
+\tpanic("stop")
+}
+"""
+
+
+def test_function_defects(spark):
+    files = spark.createDataFrame([(1, "a.C", C_CODE), (2, "b.go", GO_CODE), (3, "c.cpp", "void f() {\n  try { g(); }\n  catch (...) { }\n}\n"), (4, "d.go", None), (5, "e.c", ""), (6, "f.java", C_CODE)], "id long, name string, code string")
+    found = {(r.id, r["name"], r.line_no, r.check) for r in function_static_defects(files, "id", "name", "code").collect()}
+    assert found == {
+        (1, "leak", 4, "null_risk"),  # the comment counts as freeing, as the raw text is looked at
+        (1, "copy", 16, "unbounded_call"),
+        (1, "open_it", 20, "file_not_closed"),
+        (2, "Bad", 3, "error_not_checked"),
+        (2, "Bad", 4, "not_closed"),
+        (2, "Drop", 19, "error_ignored"),
+        (2, "Drop", 23, "not_unlocked"),
+        (2, "Drop", 24, "panic"),
+        (3, "f", 3, "catch_all"),
+    }, found
+
+
+def test_quality_issues(spark):
+    rows = [(1, "必须在合适的时间导出 5 条，不得禁止"), (2, "仅管理员可删除，最多 3 条"), (3, "必须完成，不不得"), (4, None), (5, "")]
+    got = quality_issues(spark.createDataFrame(rows, "id long, t string"), "id", "t", T.AMBIGUOUS_WORDS, T.CONTRADICTIONS)
+    assert {(r.id, r.type, r.keyword) for r in got.collect()} == {(1, "ambiguity", "合适"), (1, "contradiction", "必须 / 禁止"), (1, "contradiction", "必须 / 不得"), (1, "missing_boundary", "敏感操作：导出"), (1, "missing_boundary", "数量边界")}
+    assert {r.excerpt for r in got.where("keyword = '合适'").collect()} == {"必须在合适的时间导出 5 条，不得禁止"}
+
+
+def test_terms(spark):
+    got = values(spark, F.transform(T.weighted_terms(F.col("t"), {"数量": ["quantity"]}), lambda x: F.concat(x["term"], F.lit("*"), x["weight"].cast("string"))), [("数量和 getName", ""), ("一 a", ""), ("", "")])
+    assert got == [["get*1.0", "name*1.0", "getname*1.0", "数量*1.0", "量和*1.0", "quantity*0.5"], [], []]
