@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.session import cut
+
 
 def count_if(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
@@ -68,11 +70,20 @@ def majority(df: DataFrame, item: str, vote: Column) -> DataFrame:
 def failure_runs(df: DataFrame, group: str, order: list[str], failed: Column, least: int) -> DataFrame:
     """Runs of at least ``least`` consecutive failures per group: first and last order value, length.
 
-    Gaps and islands: a run's number is the count of successes before it. Groups are sorted in their own partition.
+    Gaps and islands: a run's number is the count of successes before it. Rows are range-partitioned by group and order, and
+    counted within their partition; a group that spreads over several partitions carries its count on from one to the next
+    by the partitions' sums. So no task holds a whole group, however frequent it is.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(group).orderBy(*order)
-    numbered = df.withColumn("_f", failed).withColumn("_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.where("_f").groupBy(group, "_run").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("length"))
-    return runs.where(F.col("length") >= least).drop("_run")
+    ranged = cut(df.withColumn("_f", F.coalesce(failed, F.lit(False))).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))  # both uses must see the same ranges
+    ok = F.sum(F.when(F.col("_f"), 0).otherwise(1))
+    local = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy(group, "_part").agg(ok.alias("_n"))
+    parts = Window.partitionBy(group).orderBy("_part")
+    carried = sums.withColumn("_before", F.sum("_n").over(parts) - F.col("_n")).withColumn("_k", F.row_number().over(parts)).where("_k > 1").select(group, "_part", "_before")
+    # only groups that cross a border between partitions are left: at most a row per partition
+    counted = ranged.withColumn("_local", ok.over(local)).join(F.broadcast(carried), [group, "_part"], "left")
+    runs = counted.where("_f").groupBy(group, (F.col("_local") + F.coalesce("_before", F.lit(0))).alias("_run"))
+    found = runs.agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("length"))
+    return found.where(F.col("length") >= least).drop("_run")

@@ -105,6 +105,26 @@ def test_failure_runs(spark):
     assert [tuple(r) for r in failure_runs(df, "u", ["i"], F.col("f") == 1, 3).collect()] == [("u", 3, 5, 3)]
 
 
+def test_failure_runs_of_a_hot_group(spark):
+    """A group that spreads over all partitions: as by walking through it."""
+    rnd = random.Random(5)
+    rows = [("hot", i, rnd.random() < 0.7) for i in range(900)] + [(f"g{i % 30}", i, rnd.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, bad boolean").repartition(7)
+    wanted = set()
+    for g in {r[0] for r in rows}:
+        run = []
+        for _, i, bad in [*sorted(r for r in rows if r[0] == g), (g, None, False)]:
+            if bad:
+                run.append(i)
+            else:
+                if len(run) >= 3:
+                    wanted.add((g, run[0], run[-1], len(run)))
+                run = []
+    got = failure_runs(df, "g", ["i"], F.col("bad"), 3)
+    assert {(r.g, r.first, r.last, r.length) for r in got.collect()} == wanted
+    assert failure_runs(df.limit(0), "g", ["i"], F.col("bad"), 3).count() == 0
+
+
 def test_blocks_meet_all_rows(spark):
     q = spark.createDataFrame([(i, float(i)) for i in range(30)], "q long, x double")
     r = spark.createDataFrame([(i, float(i)) for i in range(40)], "r long, y double")
