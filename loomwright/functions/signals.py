@@ -45,7 +45,7 @@ def coverage_band(share: Column) -> Column:
 
 # Parameters that texts speak of, and their wordings.
 PARAMETERS = {
-    "userId": ["用户id", "用户 id", "用户标识", "userId", "user id"],
+    "userId": ["用户id", "用户 id", "用户标识", "用户ID", "userId", "user id"],
     "channel": ["渠道类型", "渠道", "channel"],
     "content": ["通知内容", "消息内容", "content"],
     "duration": ["考试时长", "时长", "duration"],
@@ -62,7 +62,7 @@ DELEGATES = r"(?i)\b(validate|check|verify)\w*\s*\("
 
 def parameters(text: Column, names: dict[str, list[str]] = PARAMETERS) -> Column:
     """Parameters that the text speaks of, in the order of the list."""
-    has = lambda words: F.lower(text).rlike("|".join(w.lower() for w in words))
+    has = lambda words: F.lower(text).rlike("|".join(dict.fromkeys(w.lower() for w in words)))
     return F.filter(F.array(*[F.when(has(words), F.lit(p)) for p, words in names.items()]), lambda p: p.isNotNull())
 
 

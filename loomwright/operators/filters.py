@@ -46,6 +46,11 @@ def expired(df: DataFrame, time: str, as_of: str, days: int) -> DataFrame:
     return df.where(F.col(time) < F.expr(f"timestamp_ntz '{as_of}' - interval {int(days)} days"))
 
 
+def within(n: int | None, least: int, most: int, default: int) -> int:
+    """A page size, limit or number of days as asked for, held within its bounds; the default where none is given."""
+    return max(least, min(most, default if n is None else n))
+
+
 def defaulted(c: Column, value: str) -> Column:
     """The value where the column is null or blank."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(value))

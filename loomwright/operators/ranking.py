@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.filters import within
 from loomwright.session import cut
 
 
@@ -23,10 +24,10 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+def page(df: DataFrame, order: list[Column], number: int | None, size: int | None) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows, held within 1..200."""
-    size = min(max(size, 1), 200)
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    size = within(size, 1, 200, 20)
+    return df.orderBy(*order).offset((max(number or 1, 1) - 1) * size).limit(size)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ord", start: int = 0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,15 @@ def vector_rows(requirements: DataFrame, code: DataFrame) -> DataFrame:
     """(type, id, vector) of both sources, components joined by semicolons; rows without a vector are left out."""
     pick = lambda df, kind: df.where(F.col("vector").isNotNull()).select(F.lit(kind).alias("type"), F.col("id").cast("string").alias("id"), F.array_join(F.transform("vector", lambda x: x.cast("string")), ";").alias("vector"))
     return pick(requirements, "requirement").unionByName(pick(code, "code"))
+
+
+def resumed(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a stage that an earlier run has written whole to ``path``; else the stage is built, written and read. A stage
+    that broke off has left no mark of success and is built anew. So is one without rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        done = spark.read.parquet(path)
+        if not done.isEmpty():
+            return done
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -223,3 +223,10 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_bounds_of_pages(spark):
+    assert [P.within(n, 1, 200, 20) for n in (None, 0, -5, 7, 500)] == [20, 1, 1, 7, 200]
+    df = spark.range(300)
+    assert [r.id for r in R.page(df, [F.asc("id")], 2, 3).collect()] == [3, 4, 5]
+    assert R.page(df, [F.asc("id")], None, None).count() == 20 and R.page(df, [F.asc("id")], 0, 999).count() == 200

@@ -52,6 +52,20 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in sinks.vector_rows(v, v.where("id = 2")).collect()] == [("requirement", "1", "0.5;1.0")]
 
 
+def test_resumed(spark, tmp_path):
+    path, runs = str(tmp_path / "stage"), []
+
+    def build(n):
+        runs.append(n)
+        return spark.range(n)
+
+    assert sinks.resumed(spark, path, lambda: build(0)).count() == 0
+    assert sinks.resumed(spark, path, lambda: build(3)).count() == 3  # a stage without rows is built again
+    assert sinks.resumed(spark, path, lambda: build(5)).count() == 3 and runs == [0, 3]
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    assert sinks.resumed(spark, path, lambda: build(7)).count() == 7
+
+
 @pytest.mark.parametrize("mode", ["complete"])
 def test_stream_equals_batch(spark, tmp_path, mode):
     events = spark.sql("select id as event_id, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) as ts, id % 5 as user_id, if(id % 4 = 0, 'error', 'click') as event_type, 1.0D as value, '{}' as props from range(100)")
