@@ -122,10 +122,10 @@ def j9_j11_never_judged(spark, sf):
     return read_table(spark, sf, "consistency_pair").join(read_table(spark, sf, "second_annotation"), "pair_id", "left_anti").select("pair_id")
 
 
-@query("SELECT c.pair_id, v.participant, s.consistent FROM participant_verdict v JOIN consistency_pair c ON v.project = c.project AND v.req_id = c.req_id AND v.file = c.file AND v.method_name = c.method_name JOIN second_annotation s ON s.pair_id = c.pair_id WHERE s.consistent IS NOT NULL AND s.annotator = 'reviewer-B'")
+@query("SELECT c.pair_id, v.participant, s.annotator, s.consistent FROM participant_verdict v JOIN consistency_pair c ON v.project = c.project AND v.req_id = c.req_id AND v.file = c.file AND v.method_name = c.method_name JOIN second_annotation s ON s.pair_id = c.pair_id WHERE s.consistent IS NOT NULL")
 def j8_j13_j14_composite_join(spark, sf):
-    second = read_table(spark, sf, "second_annotation").where("consistent is not null and annotator = 'reviewer-B'").select("pair_id", "consistent")
-    return read_table(spark, sf, "participant_verdict").join(read_table(spark, sf, "consistency_pair"), PAIR).join(second, "pair_id").select("pair_id", "participant", "consistent")
+    second = read_table(spark, sf, "second_annotation").where("consistent is not null").select("pair_id", "annotator", "consistent")
+    return read_table(spark, sf, "participant_verdict").join(read_table(spark, sf, "consistency_pair"), PAIR).join(second, "pair_id").select("pair_id", "participant", "annotator", "consistent")
 
 
 @query("SELECT case_id, round(CASE WHEN hi - lo < 0.001 THEN quality_precision ELSE (quality_precision - lo) / (hi - lo) END, 6) AS scaled FROM (SELECT case_id, quality_precision, min(quality_precision) OVER (PARTITION BY defect_type) AS lo, max(quality_precision) OVER (PARTITION BY defect_type) AS hi FROM defect_detection_case)")
