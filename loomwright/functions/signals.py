@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import numbers, quantified_bounds
 
-# Words around which a constraint is quoted, and words of a lower bound.
+# Words around which a constraint is quoted.
 CONSTRAINT_WORDS = ["不超过", "不得", "必须", "at most", "no more than", "must"]
-LEAST_WORDS = r"不少于|至少|大于|at least|more than|greater than"
 
 
 def state_mismatch(wanted: Column, there: Column) -> Column:
@@ -87,10 +86,17 @@ def missing_validation(text: Column, code: Column, names: dict[str, list[str]] =
     return F.when(asked, coverage_band(share)).otherwise(0.0)
 
 
-def logic_inversion(text: Column, code: Column, numbers: Column) -> Column:
-    """0.35 where the text asks for at least N and the code tests for less than N (or N for less than something)."""
-    inverted = F.exists(numbers, lambda n: F.regexp_like(code, F.concat(F.lit("(< *"), n.cast("string"), F.lit("\\b)|(\\b"), n.cast("string"), F.lit(" *<[^=<])"))))
-    return F.when(text.rlike(LEAST_WORDS) & inverted, 0.35).otherwise(0.0)
+# How a text asks for more than a number.
+LOWER_BOUNDS = "必须大于|必须超过|不低于|至少|大于[^，。；]{0,8}才|高于[^，。；]{0,8}才|超过[^，。；]{0,8}才"
+
+
+def logic_inversion(text: Column, code: Column) -> Column:
+    """0.35 where the text asks for more than a number N and the code, comments aside, tests for less than N or has N less
+    than something."""
+    bare = F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    wanted = F.filter(numbers(F.regexp_replace(text, r"[0-9]+\.[0-9]+", " ")), lambda x: x > 0)
+    turned = lambda n: F.regexp_like(bare, F.concat(F.lit(r"<\s*"), n, F.lit(r"\b|\b"), n, F.lit(r"\s*<([^=]|$)")))
+    return F.when(text.rlike(LOWER_BOUNDS) & F.exists(wanted, lambda n: turned(n.cast("string"))), 0.35).otherwise(0.0)
 
 
 def state_order(text: Column, names: Column) -> Column:
@@ -197,9 +203,16 @@ def code_bugs(code: Column) -> dict[str, Column]:
     return found | {"one_sided_compare": F.when(code.rlike("(?i)" + returns) & F.lower(code).rlike(words), weight).otherwise(0.0)}
 
 
+#: A value that comes from a lookup: what follows the name that it is given.
+LOOKUP = r"\s*=\s*\w+(?:\.\w+)*\.get(?:OrDefault)?\([^)]*\)\s*;"
+
+
 def null_dereference(code: Column) -> Column:
-    """0.35 where a value that came from a lookup is used and never compared with null."""
-    return F.when(code.rlike(r"(\w+) = \w+\.get\([^;]*\);(?![\s\S]*\b\1 *[!=]= *null)[\s\S]*?\b\1\."), 0.35).otherwise(0.0)
+    """0.35 where a value that came from a lookup is used after it and compared with null nowhere."""
+    names = F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b(\w+)" + LOOKUP), F.lit(1)))
+    guarded = lambda v: F.regexp_like(code, F.concat(F.lit(r"(?i)\b"), v, F.lit(r"\s*(==|!=)\s*null")))
+    used = lambda v: F.regexp_like(code, F.concat(F.lit(r"\b"), v, F.lit(LOOKUP + r"[\s\S]*?(?i:\b"), v, F.lit(r"\s*\.)")))
+    return F.when(F.exists(names, lambda v: ~guarded(v) & used(v)), 0.35).otherwise(0.0)
 
 
 def constraint_score(text: Column, code: Column, matched: Column, coverage: Column) -> Column:

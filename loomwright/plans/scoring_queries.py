@@ -11,6 +11,7 @@ from loomwright.operators import sweeps as W
 from loomwright.operators.matching import greedy_matches, unmatched
 from loomwright.operators.blocks import against_all
 from loomwright.operators.ranking import numbered, top_n, top_per
+from loomwright.plans import signal_queries as Q
 from loomwright.plans.base import WITH, cases, r6, states, states_sql, tasks
 from loomwright.session import read_table
 
@@ -236,3 +237,38 @@ def f14_valid_weights(spark, sf):
     w = [F.col(f"weight_{x}") for x in ("alpha", "beta", "gamma")]
     ok = (F.abs(w[0] + w[1] + w[2] - 1) <= 0.01) & (F.least(*w) >= 0) & (F.greatest(*w) <= 1) & (F.col("threshold_t1") > F.col("threshold_t2"))
     return tasks(spark, sf).where(w[0].isNotNull() & w[1].isNotNull() & w[2].isNotNull()).select("id", ok.alias("valid"))
+
+
+_SIGNALS = {"state": ("r1_r3_t15_signals", "state"), "numeric": ("r1_r3_t15_signals", "numeric"), "validation": ("r1_r3_t15_signals", "validation"), "inversion": ("r4_logic_inversion", "inversion"), "bugs": ("r5_m16_code_bugs", "risk"), "null": ("r7_null_dereference", "risk"), "flow": ("r8_state_flow", "violation"), "bound": ("r10_bound_mismatch", "bound")}
+_PARTS = {name: (ORACLE | Q.ORACLE)[name] for name in dict.fromkeys(q for q, _ in _SIGNALS.values())}
+
+
+@query(
+    "WITH "
+    + ", ".join(f"x_{name} AS ({sql})" for name, sql in _PARTS.items())
+    + ", s AS (SELECT case_id, "
+    + ", ".join(f"x_{q}.{c} AS s_{k}" for k, (q, c) in _SIGNALS.items())
+    + " FROM x_r1_r3_t15_signals "
+    + " ".join(f"JOIN x_{name} USING (case_id)" for name in _PARTS if name != "r1_r3_t15_signals")
+    + ") SELECT case_id, round(greatest(0, least(0.65, "
+    + " + ".join(f"{S.RISK_WEIGHTS.get(k, 1.0)} * s_{k}" for k in _SIGNALS)
+    + "))::DOUBLE, 6) AS risk, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN s_{k} > 0 THEN '{k}' END" for k in _SIGNALS)
+    + "], lambda x: x IS NOT NULL), ',') AS signals FROM s"
+)
+def m15_m16_risk(spark, sf):
+    """The weighted risk of all signals, and which of them speak."""
+    t, c = F.col("original_text"), F.col("code_content")
+    each = {
+        "state": G.state_mismatch(states(t), states(c)),
+        "numeric": F.round(G.numeric_mismatch(t, c), 6),
+        "validation": G.missing_validation(t, c),
+        "inversion": G.logic_inversion(t, c),
+        "bugs": F.round(F.least(F.lit(0.8), sum(G.code_bugs(c).values(), F.lit(0.0))), 6),
+        "null": G.null_dereference(c),
+        "flow": G.state_flow_violation(t, c, states(t)),
+        "bound": G.bound_mismatch(t, c, F.split(c, r"\r\n|\r|\n")),
+    }
+    rows = cases(spark, sf).where(t.isNotNull() & c.isNotNull()).select("case_id", *[x.alias(k) for k, x in each.items()])
+    named = F.filter(F.array(*[F.when(F.col(k) > 0, k) for k in each]), lambda x: x.isNotNull())
+    return rows.select("case_id", r6(S.risk({k: F.col(k) for k in each}), "risk"), F.array_join(named, ",").alias("signals"))

@@ -49,9 +49,12 @@ def r1_r3_t15_signals(spark, sf):
     return _rows(spark, sf).select("case_id", G.state_mismatch(states(t), states(c)).alias("state"), r6(G.numeric_mismatch(t, c), "numeric"), G.missing_validation(t, c).alias("validation"))
 
 
-@query(f"WITH {_BASE} SELECT case_id, CASE WHEN regexp_matches(t, '{G.LEAST_WORDS}') AND len(list_filter(tn, lambda n: regexp_matches(c, '(< *' || n || '\\b)|(\\b' || n || ' *<[^=<])'))) > 0 THEN 0.35 ELSE 0 END::DOUBLE AS inversion FROM b")
+@query(
+    f"WITH {_BASE}, n AS (SELECT case_id, t, {_WANTED} AS w, {_BARE.format(c='c')} AS bare FROM b) SELECT case_id, CASE WHEN regexp_matches(t, '{G.LOWER_BOUNDS}') AND len(list_filter(w, lambda n: "
+    + r"regexp_matches(bare, '<\s*' || n || '\b|\b' || n || '\s*<([^=]|$)'))) > 0 THEN 0.35 ELSE 0 END::DOUBLE AS inversion FROM n"
+)
 def r4_logic_inversion(spark, sf):
-    return _rows(spark, sf).select("case_id", G.logic_inversion(F.col("t"), F.col("c"), F.col("tn")).alias("inversion"))
+    return _rows(spark, sf).select("case_id", G.logic_inversion(F.col("t"), F.col("c")).alias("inversion"))
 
 
 _ORDER = "list_transform(list_sort(list_transform({s}, lambda s, i: {{'at': CASE WHEN contains(upper({t}), s) THEN strpos(upper({t}), s) ELSE 1073741824 END, 'i': i, 's': s}})), lambda x: x.s)"
@@ -142,6 +145,8 @@ def m6_constraint_score(spark, sf):
     return cases(spark, sf).select("case_id", r6(G.constraint_score(F.col("original_text"), F.col("code_content"), matched, F.col("quality_recall")), "constraint_score"))
 
 
-@query()
+@query(
+    "SELECT case_id, CASE WHEN len(list_filter(regexp_extract_all(code_content, '\\b(\\w+)" + G.LOOKUP + "', 1), lambda v: NOT regexp_matches(code_content, '(?i)\\b' || v || '\\s*(==|!=)\\s*null') AND regexp_matches(code_content, '\\b' || v || '" + G.LOOKUP + "[\\s\\S]*?(?i:\\b' || v || '\\s*\\.)'))) > 0 THEN 0.35 ELSE 0 END::DOUBLE AS risk FROM defect_detection_case WHERE code_content IS NOT NULL"
+)
 def r7_null_dereference(spark, sf):
     return cases(spark, sf).where("code_content is not null").select("case_id", G.null_dereference(F.col("code_content")).alias("risk"))

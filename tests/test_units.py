@@ -237,3 +237,13 @@ def test_quality_issues(spark):
 def test_terms(spark):
     got = values(spark, F.transform(T.weighted_terms(F.col("t"), {"数量": ["quantity"]}), lambda x: F.concat(x["term"], F.lit("*"), x["weight"].cast("string"))), [("数量和 getName", ""), ("一 a", ""), ("", "")])
     assert got == [["get*1.0", "name*1.0", "getname*1.0", "数量*1.0", "量和*1.0", "quantity*0.5"], [], []]
+
+
+def test_logic_inversion(spark):
+    rows = [("至少 5 次", "if (n < 5)"), ("至少 5 次", "if (n <= 5)"), ("至少 5 次", "if (5 < n)"), ("至少 5 次", "if (5 <= n)"), ("不超过 5 次", "if (n < 5)"), ("至少 5 次", "// n < 5\nn > 5"), ("至少 5 次", "n < 55"), ("金额大于 8 元才可提交", "x < 8"), ("至少 0.5", "x < 5")]
+    assert values(spark, G.logic_inversion(F.col("t"), F.col("c")), rows) == [0.35, 0.0, 0.35, 0.0, 0.0, 0.0, 0.0, 0.35, 0.0]
+
+
+def test_null_dereference_order_and_names(spark):
+    rows = [("", x) for x in ("v.run(); v = m.get(k);", "v = a.b.getOrDefault(k, 1); use(); V.run();", "v = m.get(k); if (V == null) {} v.run();", "w = m.get(k); v.run();", "v = m.find(k); v.run();", "")]
+    assert values(spark, G.null_dereference(F.col("c")), rows) == [0.0, 0.35, 0.0, 0.0, 0.0, 0.0]
