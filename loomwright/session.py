@@ -37,10 +37,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as tasks can run. Inputs of enough files or splits stay as they are; only
+def spread(df: DataFrame, waves: int = 1) -> DataFrame:
+    """``df`` over at least as many partitions as tasks can run, or ``waves`` times as many, so that rows of uneven work
+    even out. Inputs of enough files or splits stay as they are; only
     small ones, a file of one split, are shuffled, so that work per row does not run in a single task."""
-    wanted = parallelism(df.sparkSession)
+    wanted = waves * parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
