@@ -117,14 +117,14 @@ def a8_board(spark, sf):
 @query(
     WITH
     + """, o AS (SELECT project_id, count(*) AS open, sum(CASE WHEN lower(trim(status)) = 'failed' THEN 1 ELSE 0 END)::BIGINT AS failed FROM tasks WHERE lower(trim(status)) <> 'completed' GROUP BY 1)
-SELECT coalesce(industry_type, '') AS industry, count(*) AS projects, sum(coalesce(open, 0))::BIGINT AS open, sum(coalesce(failed, 0))::BIGINT AS failed, round(avg(coverage_rate), 3) AS coverage, grouping(coalesce(industry_type, ''))::INT AS is_total
+SELECT coalesce(industry_type, '') AS industry, count(*) AS projects, sum(coalesce(open, 0))::BIGINT AS open, sum(coalesce(failed, 0))::BIGINT AS failed, round(sum(coverage_rate::DECIMAL(18, 6))::DOUBLE / count(coverage_rate), 6) AS coverage, grouping(coalesce(industry_type, ''))::INT AS is_total
 FROM projects p LEFT JOIN o ON o.project_id = p.id GROUP BY ROLLUP (coalesce(industry_type, ''))"""
 )
 def a9_portfolio(spark, sf):
     late = tasks(spark, sf).where(~done()).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("open"), A.count_if(F.lower(F.trim("status")) == "failed").alias("failed"))
     rows = projects(spark, sf).withColumn("industry", F.coalesce("industry_type", F.lit(""))).join(late, "id", "left").fillna(0, ["open", "failed"])
     return rows.rollup("industry").agg(
-        F.count(F.lit(1)).alias("projects"), F.sum("open").alias("open"), F.sum("failed").alias("failed"), F.round(F.avg("coverage_rate"), 3).alias("coverage"), F.grouping("industry").cast("int").alias("is_total")
+        F.count(F.lit(1)).alias("projects"), F.sum("open").alias("open"), F.sum("failed").alias("failed"), F.round(F.try_divide(F.sum(F.col("coverage_rate").cast("decimal(18,6)")).cast("double"), F.count("coverage_rate")), 6).alias("coverage"), F.grouping("industry").cast("int").alias("is_total")
     )
 
 
