@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.ranking import top_per
 from loomwright.operators.skew import spread_join
+from loomwright.session import cut, parallelism
+
+#: Vectors of a block of queries, and of rows; a task holds one block of each.
+QUERIES, ROWS = 2048, 4096
 
 
 def term_frequencies(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(id_col, term, tf): shares of a row's weighted terms(term, weight). A row without terms gives none."""
     total = F.aggregate("_t", F.lit(0.0), lambda s, x: s + x["weight"])
-    rows = df.select(id_col, terms.alias("_t")).where(F.size("_t") > 0).select(id_col, total.alias("_n"), F.explode("_t").alias("_x"))
-    return rows.groupBy(id_col, "_x.term").agg((F.sum("_x.weight") / F.max("_n")).alias("tf"))
+    # explode_outer: from explode, Spark infers a filter for which it works out the terms twice
+    rows = df.select(id_col, terms.alias("_t")).select(id_col, total.alias("_n"), F.explode_outer("_t").alias("_x"))
+    return rows.where("_x is not null").groupBy(id_col, "_x.term").agg((F.sum("_x.weight") / F.max("_n")).alias("tf"))
 
 
 def inverse_document_frequency(tf: DataFrame, id_col: str) -> DataFrame:
@@ -35,3 +47,117 @@ def sparse_cosine(queries: DataFrame, rows: DataFrame, idf: DataFrame, query_id:
     dots = spread_join(r, q, ["term"], F.xxhash64(row_id)).groupBy(query_id, row_id).agg(F.sum(F.col("wq") * F.col("wr")).alias("dot"))
     joined = dots.join(q_norm, query_id).join(r_norm, row_id)
     return joined.select(query_id, row_id, F.least(F.lit(1.0), F.col("dot") / (F.col("nq") * F.col("nr"))).alias("similarity"))
+
+
+def idf_of_texts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
+    """As ``inverse_document_frequency`` of ``term_frequencies``, from docs partitioned by ``id_col``, whose terms are never moved:
+    those of an id with one row are distinct within the row, and only ids with several rows sort theirs. Null ids don't count in n."""
+    rows = docs.select(id_col, F.count(F.lit(1)).over(Window.partitionBy(id_col)).alias("_rows"), terms["term"].alias("_t"))
+    once = rows.where("_rows = 1").select(id_col, F.posexplode_outer(F.array_distinct("_t")).alias("_pos", "term")).where("term is not null")
+    more = rows.where("_rows > 1").select(id_col, F.explode("_t").alias("term")).distinct()
+    more = more.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("term")) - 1).alias("_pos"), "term")
+    first = F.count_if((F.col("_pos") == 0) & F.col(id_col).isNotNull())  # an id's terms have one first
+    counts = cut(once.unionByName(more).groupBy("term").agg(F.count(F.lit(1)).alias("df"), first.alias("_n")))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    return counts.select("term", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, idf: DataFrame, query_id: str, row_id: str, k: int, digits: int, query_block: int = QUERIES, row_block: int = ROWS) -> DataFrame:
+    """(query_id, row_id, similarity, rank): for each query of queries(query_id, term, tf), the k rows with the highest
+    ``sparse_cosine``, rounded to ``digits``; equal ones by row_id. Rows that share no term are not among them.
+
+    Ids with equal terms and frequencies are one vector; only the first k ids of a rows' vector can be among any query's k.
+    Distinct vectors meet in blocks, each pair of blocks in one task, by an inverted index of the block's rows; what leaves the task is
+    k rows per query. So pairs are neither shuffled nor written, however many share a term.
+    """
+    q_vectors, r_vectors = cut(_vectors(queries, query_id)), _vectors(rows, row_id)
+    numbered = lambda df: cut(df.withColumn("_v", F.monotonically_increasing_id()))
+    q = numbered(q_vectors.select("_terms").distinct())
+    kept = top_per(r_vectors, ["_terms"], [F.asc(row_id)], k)
+    r = numbered(kept.groupBy("_terms").agg(F.array_sort(F.collect_list(row_id)).alias("_ids")))
+    least = 2 * parallelism(queries.sparkSession)
+    q_blocks = _blocks(_weighed(q, idf), query_block, least, "_queries")
+    r_blocks = _blocks(_weighed(r, idf).join(r.select("_v", "_ids"), "_v"), row_block, 1, "_rows")
+    kind = rows.schema[row_id].dataType.simpleString()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some, others in zip(b.column("_queries"), b.column("_rows")):
+                yield _best_of_block(some.values, others.values, k, digits)
+
+    found = q_blocks.crossJoin(r_blocks).mapInArrow(best, f"_v long, _id {kind}, similarity double")
+    ranked = top_per(found, ["_v"], [F.desc("similarity"), F.asc("_id")], k)
+    ids = q_vectors.join(q, "_terms").select(query_id, "_v")
+    return ids.join(ranked, "_v").select(query_id, F.col("_id").alias(row_id), "similarity", "rank")
+
+
+def _vectors(tf: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, _terms): the sorted terms and frequencies of each id but null."""
+    return tf.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_terms"))
+
+
+def _weighed(vectors: DataFrame, idf: DataFrame) -> DataFrame:
+    """(_v, _w) with the weights of _terms; terms without idf weigh 1."""
+    each = vectors.select("_v", F.inline("_terms")).join(idf.select("term", "idf"), "term", "left")
+    weight = F.struct("term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    return each.groupBy("_v").agg(F.array_sort(F.collect_list(weight)).alias("_w"))
+
+
+def _blocks(vectors: DataFrame, size: int, least: int, name: str) -> DataFrame:
+    """Arrays of about ``size`` vectors, in ``least`` rows or more where there are as many vectors."""
+    vectors = cut(vectors)
+    n = vectors.count()
+    blocks = max(-(-n // size), min(least, n), 1)
+    packed = vectors.groupBy(F.pmod(F.xxhash64("_v"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*vectors.columns)).alias(name))
+    return packed.select(name).repartition(blocks)
+
+
+def _flat(vectors: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's vectors: terms and weights one after the other, the vector of each, and the vectors' lengths."""
+    lists = vectors.field("_w")
+    flat, of = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    w = flat.field("w").to_numpy()
+    return flat.field("term"), w, of, np.sqrt(np.bincount(of, w * w, len(lists)))
+
+
+def _units(x: np.ndarray, digits: int) -> np.ndarray:
+    """x in units of the last of ``digits``, rounded half up by its decimal notation as SQL's round does."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = int(Decimal(repr(float(x[i]))).scaleb(digits).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def _best_of_block(queries: pa.StructArray, rows: pa.StructArray, k: int, digits: int) -> pa.RecordBatch:
+    (r_term, r_w, r_of, r_norm), (q_term, q_w, q_of, q_norm) = _flat(rows), _flat(queries)
+    coded = r_term.dictionary_encode()
+    code = coded.indices.to_numpy()
+    by_term = np.argsort(code, kind="stable")
+    holders, weights = r_of[by_term], r_w[by_term]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))])
+    wanted = pc.fill_null(pc.index_in(q_term, value_set=coded.dictionary), -1).to_numpy()
+    known = wanted >= 0
+    wanted, q_w, ends = wanted[known], q_w[known], np.cumsum(np.bincount(q_of[known], minlength=len(queries)))
+    numbers, ids = queries.field("_v").to_numpy(), rows.field("_ids")
+    out_v, out_id, out_s = [], [], []
+    for j, end in enumerate(ends):
+        at = range(ends[j - 1] if j else 0, end)
+        if not at:
+            continue
+        places = [slice(starts[wanted[i]], starts[wanted[i] + 1]) for i in at]
+        dot = np.bincount(np.concatenate([holders[p] for p in places]), np.concatenate([weights[p] * q_w[i] for i, p in zip(at, places)]), len(rows))
+        sharing = np.flatnonzero(dot)  # weights are above 0
+        s = np.minimum(1.0, dot[sharing] / (q_norm[j] * r_norm[sharing]))
+        if len(s) > k:  # what may round to as much as the k-th
+            may = s >= np.partition(s, -k)[-k] - 10.0**-digits
+            sharing, s = sharing[may], s[may]
+        units = _units(s, digits)
+        if len(s) > k:
+            may = units >= np.partition(units, -k)[-k]
+            sharing, units = sharing[may], units[may]
+        each = sorted((-u, x) for u, r in zip(units.tolist(), sharing.tolist()) for x in ids[r].as_py())[:k]
+        out_v += [numbers[j]] * len(each)
+        out_id += [x for _, x in each]
+        out_s += [-u / 10.0**digits for u, _ in each]
+    return pa.RecordBatch.from_arrays([pa.array(out_v, pa.int64()), pa.array(out_id, ids.type.value_type), pa.array(out_s, pa.float64())], ["_v", "_id", "similarity"])

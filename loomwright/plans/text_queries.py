@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import documents as D
-from loomwright.operators.ranking import top_per
-from loomwright.operators.terms import inverse_document_frequency, sparse_cosine, term_frequencies
-from loomwright.plans.base import WITH, bounds_sql, cases, requirements, states, states_sql
-from loomwright.session import read_table
+from loomwright.operators.terms import idf_of_texts, inverse_document_frequency, nearest, term_frequencies
+from loomwright.plans.base import WITH, bounds_sql, cases, kept, requirements, states, states_sql
+from loomwright.session import parallelism, read_table
 
 QUERIES, ORACLE = {}, {}
 
@@ -122,11 +121,12 @@ s AS (SELECT d.id, d.case_id, round(least(1, dot / (qn.n * rn.n)), 6) AS similar
 SELECT id, case_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, case_id) AS rank FROM s) WHERE rank <= 3"""
 )
 def m2_w1_nearest_cases(spark, sf):
-    tf = term_frequencies(requirements(spark, sf), "id", T.weighted_terms(F.col("original_text")))
-    idf = inverse_document_frequency(tf, "id")
-    rows = term_frequencies(cases(spark, sf), "case_id", T.weighted_terms(F.col("original_text")))
-    pairs = sparse_cosine(tf.where("id % 50 = 0"), rows, idf, "id", "case_id").withColumn("similarity", F.round("similarity", 6))
-    return top_per(pairs, ["id"], [F.desc("similarity"), F.asc("case_id")], 3)
+    terms = T.weighted_terms(F.col("original_text"))
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))  # given, so that small tables stay spread
+    docs = kept(read_table(spark, sf, "tg_requirement")).repartition(n, "id").distinct()  # as requirements(), all of an id in one place
+    queries = term_frequencies(docs.where("id % 50 = 0"), "id", terms)
+    rows = term_frequencies(cases(spark, sf).repartition(n, "case_id"), "case_id", terms)
+    return nearest(queries, rows, idf_of_texts(docs, "id", terms), "id", "case_id", 3, 6)
 
 
 @query(
