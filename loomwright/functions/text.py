@@ -101,6 +101,11 @@ def weighted_terms(text: Column, equivalents: dict[str, list[str]] = EQUIVALENTS
     return F.concat(own, F.filter(also, lambda x: x.isNotNull()))
 
 
+def term_text(text: Column) -> Column:
+    """What of a text its weighted terms depend on: words and Han characters, without numbers; the terms are the same."""
+    return F.regexp_replace(text, "[^A-Za-z_0-9一-龥]+[0-9]*|(?<![A-Za-z_0-9])[0-9]+", " ")
+
+
 def numbers(text: Column) -> Column:
     """Integers of one to four digits that stand alone among ASCII word characters."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([0-9]{1,4})(?![A-Za-z0-9_])"), F.lit(1)), lambda x: x.cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import documents as D
-from loomwright.operators.terms import idf_of_texts, inverse_document_frequency, nearest, term_frequencies
+from loomwright.operators.terms import inverse_document_frequency, nearest_texts, term_frequencies
 from loomwright.plans.base import WITH, bounds_sql, cases, kept, requirements, states, states_sql
 from loomwright.session import parallelism, read_table
 
@@ -114,19 +114,19 @@ def a17_idf(spark, sf):
     + _frequencies("cf", "case_id", "cases")
     + """,
 idf AS (SELECT term, ln(((SELECT count(DISTINCT id) FROM f) + 1.0) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY 1),
-q AS (SELECT f.id, f.term, tf * coalesce(idf, 1) AS w FROM f LEFT JOIN idf USING (term) WHERE f.id % 50 = 0), r AS (SELECT case_id, cf.term, tf * coalesce(idf, 1) AS w FROM cf LEFT JOIN idf USING (term)),
+q AS (SELECT f.id, f.term, tf * coalesce(idf, 1) AS w FROM f LEFT JOIN idf USING (term)), r AS (SELECT case_id, cf.term, tf * coalesce(idf, 1) AS w FROM cf LEFT JOIN idf USING (term)),
 qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM q GROUP BY 1), rn AS (SELECT case_id, sqrt(sum(w * w)) AS n FROM r GROUP BY 1),
 d AS (SELECT q.id, r.case_id, sum(q.w * r.w) AS dot FROM q JOIN r USING (term) GROUP BY 1, 2),
 s AS (SELECT d.id, d.case_id, round(least(1, dot / (qn.n * rn.n)), 6) AS similarity FROM d JOIN qn USING (id) JOIN rn USING (case_id))
 SELECT id, case_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, case_id) AS rank FROM s) WHERE rank <= 3"""
 )
 def m2_w1_nearest_cases(spark, sf):
-    terms = T.weighted_terms(F.col("original_text"))
     n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))  # given, so that small tables stay spread
-    docs = kept(read_table(spark, sf, "tg_requirement")).repartition(n, "id").distinct()  # as requirements(), all of an id in one place
-    queries = term_frequencies(docs.where("id % 50 = 0"), "id", terms)
-    rows = term_frequencies(cases(spark, sf).repartition(n, "case_id"), "case_id", terms)
-    return nearest(queries, rows, idf_of_texts(docs, "id", terms), "id", "case_id", 3, 6)
+    docs = kept(read_table(spark, sf, "tg_requirement"))
+    row = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]  # hashes pass nulls over
+    docs = docs.select("id", "original_text", F.xxhash64(*row).alias("k1"), F.xxhash64(F.lit(""), *row).alias("k2"))
+    docs = docs.repartition(n, "id").distinct()  # as requirements(), with 128 bits that stand for a row; all of an id in one place
+    return nearest_texts(docs, cases(spark, sf).repartition(n, "case_id"), "id", "case_id", "original_text", 3, 6)
 
 
 @query(
